@@ -136,9 +136,11 @@ def inside(first: np.ndarray, k: int) -> np.ndarray:
 
 def joined(t: Texts, table: np.ndarray, lower: bool) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
     """The texts rewritten as their words joined by one space, with word starts, ends and first word indexes in them."""
+    if lower:
+        t = Texts(LOWER[t.data], t.off)
     starts, ends, first = words(t, table)
     n = t.off[-1]
-    data = LOWER[t.data[:n]] if lower else t.data[:n]
+    data = t.data[:n]
     m = table[data]
     keep = m.copy()
     glue = ends[:-1] if len(ends) else ends  # a space after each word but a document's last
