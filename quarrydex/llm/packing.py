@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrydex.llm.encoder import Encoder
+from quarrydex.llm.encoder import encoder
 from quarrydex.llm.scratch import Scratch
 
 CAPACITY = 4096
@@ -194,9 +194,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPA
     """(doc_id, piece, start, length, ids_crc32, place[, ids]); place: the piece's number among those of its length in its partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, count = Encoder(tokenizer), np.zeros(capacity + 1, np.int64)
+        own_encoder, count = encoder(tokenizer), np.zeros(capacity + 1, np.int64)
         for b in batches:
-            for i, j, ids, at in encoder.encode(b.column(1), end):
+            for i, j, ids, at in own_encoder.encode(b.column(1), end):
                 n = -(-np.diff(at) // capacity)
                 doc = np.repeat(np.arange(j - i), n)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
