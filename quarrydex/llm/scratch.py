@@ -61,26 +61,48 @@ def unique_ids(docs: DataFrame) -> bool:
     return row["most"] in (None, 1) and not row["nulls"]
 
 
-def keyed(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(doc_key, doc_id, text) with a key that is unique and ascends with doc_id.
+#: Keys up to which a set of them is broadcast (8 bytes each, before overhead); beyond it a join shuffles.
+BROADCAST_KEYS = 1_000_000
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """The keys, to be broadcast if they are at most BROADCAST_KEYS."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
-    The key is doc_id itself where that is unique and not null. Else rows are
-    numbered by (doc_id with nulls first, text): keys come from sorted range
-    partitions, the rows of each numbered after the row counts of those before it.
+
+def with_keys(scratch: Scratch, docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """docs with a key column that is unique and ascends with doc_id, and whether it is doc_id itself.
+
+    It is where doc_id is unique and not null. Else rows are numbered by (doc_id with
+    nulls first, text): keys come from sorted range partitions, the rows of each
+    numbered after the row counts of those before it.
     """
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     if unique_ids(docs):
-        return docs.select(F.col("doc_id").cast("long").alias("doc_key"), "doc_id", "text"), True
+        return docs.withColumn(key, F.col("doc_id").cast("long")), True
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = docs.withColumn("_salt", F.rand(7)).repartitionByRange(*order, "_salt").drop("_salt").sortWithinPartitions(*order)
-    part = F.shiftright(F.monotonically_increasing_id(), 33).alias("part")
-    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")
-    parts = scratch.write(ranged.select(part, at, "doc_id", "text"), "keyed")
-    sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row for each partition
-    before, total = [], 0
-    for p in sorted(sizes):
-        before.append((p, total))
-        total += sizes[p]
-    spark = docs.sparkSession
-    offsets = spark.createDataFrame(before or [(0, 0)], "part long, before long")
-    return parts.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("at")).alias("doc_key"), "doc_id", "text"), False
+    part, at, salt, before = (fresh(docs, n) for n in ("_part", "_at", "_salt", "_before"))
+    ranged = docs.withColumn(salt, F.rand(7)).repartitionByRange(*order, salt).drop(salt).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()
+    parts = scratch.write(ranged.withColumns({part: F.shiftright(number, 33), at: number.bitwiseAND(F.lit((1 << 33) - 1))}), "keyed")
+    sizes = parts.groupBy(part).agg(F.count("*").alias("n")).orderBy(part).collect()  # one row for each partition
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    offsets = docs.sparkSession.createDataFrame(offsets or [(0, 0)], f"{part} long, {before} long")
+    rows = parts.join(F.broadcast(offsets), part).withColumn(key, F.col(before) + F.col(at))
+    return rows.select(*docs.columns, key), False
+
+
+def keyed(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_key, doc_id, text) with the key of with_keys."""
+    rows, plain = with_keys(scratch, docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), "doc_key")
+    return rows.select("doc_key", "doc_id", "text"), plain

@@ -42,13 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrydex.llm import flattext as ft
-from quarrydex.llm.scratch import Scratch, keyed
+from quarrydex.llm.scratch import BROADCAST_KEYS, Scratch, few, fresh, keyed, with_keys
 
 WINDOW = 20
 GRAM = 8
 FANOUT = 4
-#: Candidate documents up to which their keys are broadcast to spare the others' texts a shuffle; beyond it texts are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 _SEED2 = 0x5BD1E995
 
 
@@ -128,7 +126,7 @@ def first_pass(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     ["doc_key", "n_words", "digest", "inner", "prints"],
                 )
 
-    return docs.select("doc_key", "text").mapInArrow(run, "doc_key long, n_words long, digest binary, inner boolean, prints array<long>")
+    return docs.select("doc_key", "text").mapInArrow(ft.released(run), "doc_key long, n_words long, digest binary, inner boolean, prints array<long>")
 
 
 def candidate_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
@@ -143,7 +141,7 @@ def candidate_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 c = c[np.unique(w.own[c], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(w.hash[c].view(np.int64)), pa.array(w.hash2[c].view(np.int32)), pa.array(key[i:j][w.doc[c]])], ["h1", "h2", "doc_key"])
 
-    return texts.select("doc_key", "text", "prints").mapInArrow(run, "h1 long, h2 int, doc_key long")
+    return texts.select("doc_key", "text", "prints").mapInArrow(ft.released(run), "h1 long, h2 int, doc_key long")
 
 
 def cut(texts: DataFrame, window: int, gram: int) -> DataFrame:
@@ -174,7 +172,7 @@ def cut(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     text.append(_without(raw, t.off[d], t.off[d + 1], w.starts, w.ends, out, a, z) if n_removed[d] else raw[t.off[d] : t.off[d + 1]])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n_removed), pa.array(digest, pa.binary()), pa.array(text, pa.binary()).cast(pa.string())], ["doc_key", "n_removed", "kept", "kept_text"])
 
-    return texts.select("doc_key", "text", "prints", "owned").mapInArrow(run, "doc_key long, n_removed long, kept binary, kept_text string")
+    return texts.select("doc_key", "text", "prints", "owned").mapInArrow(ft.released(run), "doc_key long, n_removed long, kept binary, kept_text string")
 
 
 def _without(raw: bytes, begin: int, end: int, starts: np.ndarray, ends: np.ndarray, out: np.ndarray, a: int, z: int) -> bytes:
@@ -216,8 +214,10 @@ class FingerprintIndex:
         known = full.select("digest", "doc_key")
         for d in self.digests:
             known = known.unionByName(d)
-        owner = known.groupBy("digest").agg(F.min("doc_key").alias("owner"))
-        roles = s.write(full.join(owner, "digest").withColumn("copy", F.col("owner") != F.col("doc_key")).drop("owner"), f"roles-{b}")
+        # written first, so that the join's own exchanges can be split where one digest holds many documents
+        owner = s.write(known.groupBy("digest").agg(F.min("doc_key").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n"), f"owners-{b}")
+        copy = F.coalesce(F.col("owner") != F.col("doc_key"), F.lit(False))
+        roles = s.write(full.join(owner, "digest", "left").withColumn("copy", copy).drop("owner"), f"roles-{b}")
         lead = roles.where("not copy")
         run = lead.select(F.explode("prints").alias("print"), "doc_key").repartitionByRange("print", "doc_key").sortWithinPartitions("print", "doc_key")
         new = s.write(run, f"run-{b}")
@@ -274,6 +274,23 @@ class FingerprintIndex:
         self.runs = [(name, new)]
 
 
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs with the repeated words cut out of their texts, in the columns of docs; an n_chars column follows the text.
+
+    Every row stays; a text that is repeated as a whole becomes empty. Only texts that change are shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "without-repeats")
+    key = fresh(docs, "_row_key")
+    rows, _ = with_keys(scratch, docs, key)
+    found = remove_repeats(rows.select(F.col(key).alias("doc_id"), "text"), **options)
+    changed = scratch.write(found.where("kept_text is not null").select(F.col("doc_id").alias(key), F.col("kept_text").alias("text")), "changed")
+    ids = few(changed.select(key))
+    new = rows.join(ids, key, "left_semi").drop("text").join(changed, key)
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.join(ids, key, "left_anti").select(*docs.columns).unionByName(new.select(*docs.columns))
+
+
 def remove_repeats(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
     """(doc_key, doc_id, n_words, n_removed, kept_sha256, kept_text) for each row of docs, added to an index in ``batches`` ranges of keys.
 
