@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrydex.llm import flattext as ft
-from quarrydex.llm.scratch import Scratch, keyed
+from quarrydex.llm.scratch import Scratch, fresh, keyed
 
 LENGTH = 13
 #: Hit words of a contaminated document, as a share of its words: numerator and denominator.
@@ -246,7 +246,7 @@ def _scanned(rows: DataFrame, items: list, length: int, every: bool) -> DataFram
                 yield out if every else out.take(pa.array(sorted(found), pa.int64()))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<start: long, words: long>>, items array<string>")
+    return rows.mapInArrow(ft.released(run), f"doc_id {kind}, n_words long, spans array<struct<start: long, words: long>>, items array<string>")
 
 
 def _judged(rows: DataFrame, coverage: tuple[int, int]) -> DataFrame:
@@ -271,7 +271,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, coverag
     """docs with the limits applied, in the columns of docs.
 
     Contaminated documents go. From others each hit span is cut out of the text (with
-    the bytes up to the next word); texts without a hit stay as they are. Each block
+    the bytes up to the next word), and an n_chars column follows; texts without a hit
+    stay as they are. Each block
     of the benchmark makes one pass that collects spans; the cut needs no shuffle of
     texts for a one-block benchmark.
     """
@@ -280,11 +281,12 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, coverag
     if rest is not None:
         scratch = Scratch(docs.sparkSession, "cleaned")
         names = docs.columns
-        rows = scratch.write(docs.withColumn("_row_key", F.monotonically_increasing_id()), "rows")
-        judged = contamination(rows.select(F.col("_row_key").alias("doc_id"), "text"), benchmark, length, coverage, block_bytes)
-        joined = rows.join(judged.where("n_hit > 0").select(F.col("doc_id").alias("_hit_key"), "contaminated", "spans"), F.col("_row_key") == F.col("_hit_key"), "left").where("contaminated is null or not contaminated")
-        spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,words:bigint>>"))
-        return joined.select(*names, spans.alias("_spans")).mapInArrow(_cutter(names, None, length, coverage), docs.schema)
+        key = fresh(docs, "_row_key")
+        rows = scratch.write(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+        judged = contamination(rows.select(F.col(key).alias("doc_id"), "text"), benchmark, length, coverage, block_bytes)
+        hits = judged.where("n_hit > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(fresh(rows, "_spans")))
+        joined = rows.join(hits, key, "left")
+        return joined.select(*names, hits.columns[1]).mapInArrow(_cutter(names, None, length, coverage), docs.schema)
     matcher = docs.sparkSession.sparkContext.broadcast(Matcher(block, length))  # bounded by block_bytes
     return docs.mapInArrow(_cutter(docs.columns, matcher, length, coverage), docs.schema)
 
@@ -320,9 +322,12 @@ def _cutter(names: list[str], matcher, length: int, coverage: tuple[int, int]):
             columns = list(b.columns[: len(names)])
             if changed:
                 columns[at] = pa.array([changed.get(k, v) for k, v in enumerate(columns[at].to_pylist())], columns[at].type)
+                if "n_chars" in names:
+                    n = names.index("n_chars")
+                    columns[n] = pa.array([len(changed[k]) if k in changed else v for k, v in enumerate(columns[n].to_pylist())], columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    return run
+    return ft.released(run)
 
 
 def _without(text: str, hit: np.ndarray) -> str:

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrydex.llm import flattext as ft
 from quarrydex.llm.encoder import encoder
 from quarrydex.llm.scratch import Scratch
 
@@ -220,7 +221,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPA
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, place long" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(ft.released(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, place long" + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -243,4 +244,4 @@ def pack(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, wi
 
     ranked = ranked.select(*names, (F.col("base") + F.col("place")).alias("rank"))
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long")
+    return ranked.mapInArrow(ft.released(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrydex.llm import decontaminate, packing, quality_rules, simhash, substring_dedup, token_files, url_filter
+from quarrydex.llm import decontaminate, license_scan, packing, quality_rules, simhash, substring_dedup, token_counts, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, before and after the edits that delete its repeated lines."""
+    return token_counts.edited_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), token_counts.repeated_lines)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
@@ -41,6 +46,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the token files of all documents hold, read back."""
     return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=2)
@@ -52,18 +63,26 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices found in every document."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_license_scans": op9_license_scans,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

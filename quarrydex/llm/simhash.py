@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrydex.llm import flattext as ft
-from quarrydex.llm.scratch import Scratch
+from quarrydex.llm.scratch import Scratch, few, fresh, with_keys
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.mapInArrow(ft.released(run), f"doc_id {kind}, fp long")
 
 
 def posting_masks(max_bits: int = MAX_BITS) -> list[int]:
@@ -170,7 +170,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     keys = F.array(*[F.struct(F.lit(i).cast("short").alias("s"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
     posts = distinct.select("fp", F.explode(keys).alias("k")).select("k.s", "k.key", "fp")
-    return posts.repartition("s", "key").sortWithinPartitions("s", "key").mapInArrow(run, "a long, b long").distinct()
+    return posts.repartition("s", "key").sortWithinPartitions("s", "key").mapInArrow(ft.released(run), "a long, b long").distinct()
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -211,3 +211,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX
     named = scratch.write(rooted.join(least, "root").select("fp", "component_id"), "named")
     scratch.drop("distinct")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs without near-duplicates: the document of the smallest doc_id of each component stays, in the columns of docs.
+
+    Where doc_ids are null or come twice, the first row by (doc_id with nulls first, text) stays.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    key = fresh(docs, "_row_key")
+    rows, _ = with_keys(scratch, docs, key)
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), k, max_bits)
+    copies = scratch.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "copies")
+    return rows.join(few(copies), key, "left_anti").select(*docs.columns)
