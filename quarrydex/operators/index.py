@@ -21,6 +21,12 @@ def split_terms(text: Column) -> Column:
     return F.split(text, " ", -1)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it has fewer input partitions than those (a small file); a large input is left where it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class DocumentIndex:
     """The relations of a table (doc_id, text, lang, source, n_chars), in ``segments`` segments by doc_id."""
 
@@ -28,6 +34,11 @@ class DocumentIndex:
         self.segments = segments
         self.docs = documents.withColumn("segment_id", F.pmod(F.col("doc_id"), F.lit(segments)).cast("bigint"))
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """(doc_id, segment_id, text), for tokenising."""
+        return spread(self.docs.select("doc_id", "segment_id", "text"))
+
     @cached_property
     def numbers(self) -> DataFrame:
         """(doc_id, segment_id, doc_num): local document numbers."""
@@ -39,12 +50,11 @@ class DocumentIndex:
 
     def terms(self, field: str) -> DataFrame:
         """(doc_id, segment_id, pos, term, length) of a text or keyword field; length is projected before the explode."""
-        source = self.docs
         if field == "body":
-            rows = source.select("doc_id", "segment_id", split_terms(F.col("text")).alias("terms"))
+            rows = self.texts.select("doc_id", "segment_id", split_terms(F.col("text")).alias("terms"))
         else:
             value = F.col({"_id": "doc_id"}.get(field, field)).cast("string")
-            rows = source.where(value.isNotNull()).select("doc_id", "segment_id", F.array(value).alias("terms"))
+            rows = self.docs.where(value.isNotNull()).select("doc_id", "segment_id", F.array(value).alias("terms"))
         rows = rows.select("doc_id", "segment_id", "terms", F.size("terms").cast("bigint").alias("length"))
         return rows.select("doc_id", "segment_id", "length", F.posexplode("terms").alias("at", "term")).select("doc_id", "segment_id", (F.col("at") + 1).alias("pos"), "term", "length")
 
@@ -66,7 +76,7 @@ class DocumentIndex:
 
     def term_locations(self, term: str) -> DataFrame:
         """locations() of one body term: the offset is the length of the text before, so other terms aren't shuffled."""
-        rows = self.docs.where(F.contains(F.col("text"), F.lit(term))).select("doc_id", "segment_id", "text", split_terms(F.col("text")).alias("terms"))
+        rows = self.texts.where(F.contains(F.col("text"), F.lit(term))).select("doc_id", "segment_id", "text", split_terms(F.col("text")).alias("terms"))
         hits = F.filter(F.transform("terms", lambda x, i: F.struct((i + 1).alias("pos"), x.alias("term"))), lambda x: x["term"] == term)
         rows = rows.select("doc_id", "segment_id", "text", F.explode(hits).alias("h"))
         before = F.octet_length(F.expr("substring_index(text, ' ', h.pos - 1)")).cast("bigint")
