@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrydex.llm import decontaminate, license_scan, packing, quality_rules, simhash, substring_dedup, token_counts, token_files, toxicity, url_filter
+from quarrydex.llm.oracle import ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=1)
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -85,6 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scans": op9_license_scans,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-
-#: DuckDB SQL of those that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}

@@ -46,7 +46,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest fitting rule, else null."""
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
-    out = None
+    out = F.lit(None).cast("struct<rule:string,verdict:string>") if not ordered else None
     for verdict, name, lead in ordered:
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(lead)
         value = F.struct(F.lit(name + lead).alias("rule"), F.lit(verdict).alias("verdict"))
