@@ -37,7 +37,7 @@ BITS = 20
 FEATURES = 8192
 MAX_PER_CLASS = 4000
 SMOOTHING = 1.0
-PENALTY = 2.0
+PENALTY = 0.5
 THRESHOLD = 0.7
 _STEP = 0x9E3779B97F4A7C15
 
@@ -95,7 +95,7 @@ def chi_square(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
     return np.where(part > 0, n * (toxic * float(n_clean) - clean * float(n_toxic)) ** 2 / np.maximum(part, 1), 0)
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_cols: int, penalty: float = PENALTY, rounds: int = 150) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_cols: int, penalty: float = PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept of a ridge-penalised logistic regression over sparse entries, by accelerated gradient steps."""
     w, b, vw, vb = np.zeros(n_cols), 0.0, np.zeros(n_cols), 0.0
     load = np.zeros(n_cols)
