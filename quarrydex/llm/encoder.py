@@ -22,7 +22,7 @@ import pyarrow as pa
 from quarrydex.llm import flattext as ft
 
 #: Pieces kept between slices; beyond it the store starts anew.
-STORE_PIECES = 250_000
+STORE_PIECES = 500_000
 _STORED_BYTES = 48
 SLICE_BYTES = 4_000_000
 #: 1: ASCII letter, 2: digit, 3: symbol; 0: blanks, controls, non-ASCII bytes and the apostrophe, beside which nothing is cut.
@@ -159,8 +159,7 @@ class Encoder:
             self.begin.append(self.n_ids + np.cumsum(size) - size)
             self.size.append(size)
             self.ids.append(flat)
-            often = np.bincount(index, minlength=len(vocab)) > 1
-            self.slot.update((vocab[k], self.n_slots + n) for n, k in enumerate(new) if often[k] and len(vocab[k]) <= _STORED_BYTES)
+            self.slot.update((vocab[k], self.n_slots + n) for n, k in enumerate(new) if len(vocab[k]) <= _STORED_BYTES)
             self.n_slots += len(new)
             self.n_ids += len(flat)
             for x in (self.begin, self.size, self.ids):

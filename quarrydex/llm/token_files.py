@@ -30,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrydex.llm.encoder import Encoder
+from quarrydex.llm import flattext as ft
+from quarrydex.llm.encoder import encoder
 from quarrydex.llm.scratch import Scratch
 
 BLOCK = 1024
 PERCENTILE = 0.9
-SEGMENT_IDS = 1_000_000
+SEGMENT_IDS = 500_000
+#: Blocks packed or unpacked at once, which bounds the bits laid out in memory.
+_AT_ONCE = 128
 _MAGIC = b"QPF1"
 
 
@@ -76,8 +79,10 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCE
         packed: list[bytes] = [b""] * len(rows)
         for w in np.unique(width).tolist():
             own = np.flatnonzero(width == w)
-            for r, p in zip(own.tolist(), _pack(diff[own], w)):
-                packed[r] = p.tobytes()
+            for k in range(0, len(own), _AT_ONCE):
+                part = own[k : k + _AT_ONCE]
+                for r, p in zip(part.tolist(), _pack(diff[part], w)):
+                    packed[r] = p.tobytes()
         at, pos = np.nonzero(past)
         cut = np.searchsorted(at, np.arange(len(rows) + 1))
         values = diff[at, pos].astype("<u4")
@@ -104,7 +109,8 @@ def decode_blocks(data: bytes, starts: np.ndarray, n_ids: int, block: int) -> np
     groups: dict[tuple[int, int], list[int]] = {}
     for k, (_, width, _) in enumerate(heads):
         groups.setdefault((width, int(sizes[k])), []).append(k)
-    for (width, n), own in groups.items():
+    parts = [(w, n, own[k : k + _AT_ONCE]) for (w, n), own in groups.items() for k in range(0, len(own), _AT_ONCE)]
+    for width, n, own in parts:
         length = (n * width + 7) // 8
         rows = np.stack([raw[int(starts[k]) + 7 : int(starts[k]) + 7 + length] for k in own])
         values = _unpack(rows, n, width)
@@ -143,7 +149,7 @@ def token_segments(docs: DataFrame, tokenizer: str, end: int, block: int = BLOCK
     """(part, seq, before, n_ids, payload): segments in ascending doc_id order; before: ids of the part before the segment."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        own_encoder = encoder(tokenizer)
         seq = before = held = 0
         names: list = []
         sizes: list[np.ndarray] = []
@@ -156,7 +162,7 @@ def token_segments(docs: DataFrame, tokenizer: str, end: int, block: int = BLOCK
 
         for b in batches:
             own = b.column(0).to_pylist()
-            for i, j, found, at in encoder.encode(b.column(1), end):
+            for i, j, found, at in own_encoder.encode(b.column(1), end):
                 names += own[i:j]
                 sizes.append(np.diff(at))
                 ids.append(found)
@@ -170,7 +176,7 @@ def token_segments(docs: DataFrame, tokenizer: str, end: int, block: int = BLOCK
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    return ordered.mapInArrow(run, "seq long, before long, n_ids long, payload binary").select(F.spark_partition_id().alias("part"), "seq", "before", "n_ids", "payload")
+    return ordered.mapInArrow(ft.released(run), "seq long, before long, n_ids long, payload binary").select(F.spark_partition_id().alias("part"), "seq", "before", "n_ids", "payload")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -192,7 +198,7 @@ def read_back(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(at[:-1] + begin), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = segments.join(F.broadcast(parts), "part").select((F.col("part_start") + F.col("before")).alias("start"), "payload")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(ft.released(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end: int, **format_options) -> DataFrame:
