@@ -39,7 +39,8 @@ from quarrydex.llm.scratch import Scratch, fresh, keyed
 LENGTH = 13
 #: Hit words of a contaminated document, as a share of its words: numerator and denominator.
 COVERAGE = (1, 20)
-BLOCK_BYTES = 8_000_000
+#: An automaton takes about 250 bytes for each byte of its items, once on the driver and in each worker.
+BLOCK_BYTES = 1_000_000
 
 
 class SuffixAutomaton:
