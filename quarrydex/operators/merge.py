@@ -48,3 +48,43 @@ def superseded(rows: DataFrame, key: str, version: str) -> DataFrame:
     """Rows of a key that have a later version: the greatest version of each key stays."""
     last = rows.groupBy(key).agg(F.max(version).alias("_last"))
     return rows.join(last, key).where(F.col(version) < F.col("_last")).drop("_last")
+
+
+def merge_relations(relations: dict[str, DataFrame], drops: DataFrame, into: int = 0) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The relations of one segment ``into`` from persisted ones without the dropped (segment_id, doc_num), and the map of document numbers.
+
+    Postings, stored and column values move to the new numbers; dictionary and field
+    statistics are aggregated again, so a term or field without survivors is gone; norms
+    are kept. A column that some segment holds as terms becomes prefix-coded terms. Time
+    bounds come from the sources. No survivors make a valid empty segment.
+    """
+    key = ["segment_id", "doc_num"]
+    live = relations["stored"].where("field = '_id'").select(*key).distinct().join(drops.select(*key), key, "left_anti")
+    local = dense_numbers(live, ["segment_id"], "doc_num", "local")
+    counts = local.groupBy("segment_id").agg(F.count("*").alias("n"))
+    before = Window.orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("segment_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbers = local.join(F.broadcast(base), "segment_id").select(*key, (F.col("base") + F.col("local")).alias("new_doc_num"))
+
+    def placed(name: str) -> DataFrame:
+        rows = relations[name].join(numbers, key).drop(*key)
+        return rows.withColumn("segment_id", F.lit(into).cast("bigint")).withColumnRenamed("new_doc_num", "doc_num").select(*relations[name].columns)
+
+    postings, terms, values = placed("postings"), placed("docvalues"), placed("numcol")
+    mixed = terms.select("field").distinct()  # fields, of which there are few
+    coded = values.join(F.broadcast(mixed), "field", "left_semi").withColumn("term", fn.prefix_coded(F.col("value"))).select(*terms.columns)
+    stats = postings.groupBy("field").agg(F.countDistinct("doc_num").alias("docs"), F.sum("freq").alias("tokens"))
+    kinds = relations["fields"].groupBy("field").agg(F.min("field_id").alias("field_id"), F.when(F.bool_and(F.col("dv_kind") == "numeric"), "numeric").otherwise(F.max("dv_kind")).alias("dv_kind"))
+    segment = F.lit(into).cast("bigint").alias("segment_id")
+    bounds = source_bounds(relations["segment_meta"])
+    meta = live.agg(F.count("*").alias("num_docs")).join(F.broadcast(bounds), F.lit(True))  # one row each
+    merged = {
+        "segment_meta": meta.select(segment, "num_docs", "time_min", "time_max"),
+        "fields": stats.join(F.broadcast(kinds), "field").select(segment, "field_id", "field", "docs", "tokens", "dv_kind"),
+        "dictionary": postings.groupBy("field", "term").agg(F.count("*").alias("doc_freq"), F.sum("freq").alias("total_freq")).select(segment, "field", "term", "doc_freq", "total_freq"),
+        "postings": postings,
+        "stored": placed("stored"),
+        "docvalues": terms.unionByName(coded),
+        "numcol": values.join(F.broadcast(mixed), "field", "left_anti").select(*values.columns),
+    }
+    return merged, numbers

@@ -73,6 +73,14 @@ def union_bitmap(docs: DataFrame, span: int = BITMAP_DOCS) -> DataFrame:
     return docs.groupBy("segment_id", F.floor(F.col("doc_num") / span).alias("bucket")).agg(bits.alias("docs"))
 
 
+def intersection_bitmap(left: DataFrame, right: DataFrame, span: int = BITMAP_DOCS) -> DataFrame:
+    """(segment_id, bucket, docs): sizes of the bitmaps of documents in both."""
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(F.col("doc_num") + 1))
+    each = [x.groupBy("segment_id", F.floor(F.col("doc_num") / span).alias("bucket")).agg(bits.alias("bits")) for x in (left, right)]
+    both = each[0].unionByName(each[1]).groupBy("segment_id", "bucket").agg(F.count("*").alias("n"), F.bitmap_count(F.bitmap_and_agg("bits")).alias("docs"))
+    return both.where("n = 2 and docs > 0").select("segment_id", "bucket", "docs")
+
+
 def one_hit(postings: DataFrame) -> DataFrame:
     """(segment_id, field, term, doc_num) of terms with one posting of frequency one."""
     out = postings.groupBy("segment_id", "field", "term").agg(F.count("*").alias("n"), F.sum("freq").alias("f"), F.min("doc_num").alias("doc_num"))

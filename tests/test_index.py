@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrydex import functions as fn
 from quarrydex import model, sources, streaming
-from quarrydex.operators import columns, dictionary, merge, postings, vectors
+from quarrydex.operators import columns, dictionary, inspect, merge, postings, vectors
 from quarrydex.operators.index import DocumentIndex
 from quarrydex.operators.numbering import dense_numbers
 
@@ -160,3 +160,48 @@ def test_empty_documents(spark):
     index = DocumentIndex(spark.createDataFrame([], DOCS))
     assert index.postings("body").count() == 0 and index.numbers.count() == 0
     assert {k: v.count() for k, v in index.relations().items()} == dict.fromkeys(model.SCHEMAS, 0)
+
+
+def test_inspection_of_persisted_segments(spark, tiny, tmp_path):
+    sources.persist(DocumentIndex(tiny).relations(), str(tmp_path / "s"))
+    rel = sources.load(spark, str(tmp_path / "s"))
+    assert {r.segment_id: r.num_docs for r in inspect.footer(rel).collect()} == {0: 2, 1: 2, 2: 1} and inspect.footer(rel, 2).count() == 1
+    assert [(r.field, r.docs, r.tokens) for r in inspect.fields(rel, 0).collect()] == [("_id", 2, 2), ("body", 2, 5), ("lang", 2, 2), ("source", 2, 2)]
+    assert [(r.term, r.doc_freq) for r in inspect.dictionary(rel, 0, "body").collect()] == [("apple", 1), ("ball", 1), ("cat", 2), ("été", 1)]
+    assert inspect.dictionary(rel, 0, "unknown").count() == 0
+    assert [(r.doc_num, [x.start for x in r.locs]) for r in inspect.explore(rel, 0, "body", "cat").collect()] == [(0, [11]), (1, [6])]
+    assert [r.value for r in inspect.stored(rel, 1, 0).collect()] == ["1", "ball  ball", "en", "10", "b"] and inspect.stored(rel, 1, 99).count() == 0
+    got = [(r.field, r.term, r.value) for r in inspect.docvalues(rel, 1, 0, ["source", "n_chars", "none", "source"]).collect()]
+    assert got == [("source", "b", None), ("n_chars", None, 10), ("source", "b", None)]
+    assert all(v > 0 for v in inspect.size_in_bytes(rel).values())
+
+
+def test_merged_relations_equal_the_rebuilt_survivors(spark, tiny):
+    relations = DocumentIndex(tiny).relations()
+    drops = spark.createDataFrame([(1, 0), (0, 1)], "segment_id bigint, doc_num bigint")  # documents 1 and 4
+    merged, numbers = merge.merge_relations(relations, drops)
+    assert sorted((r.segment_id, r.doc_num, r.new_doc_num) for r in numbers.collect()) == [(0, 0, 0), (1, 1, 1), (2, 0, 2)]
+    kept = tiny.where("doc_id in (0, 5, 2)").withColumn("doc_id", F.expr("case doc_id when 0 then 0 when 5 then 1 else 2 end").cast("bigint"))
+    rebuilt = DocumentIndex(kept, segments=1).relations()
+    for name in ("postings", "dictionary", "docvalues", "numcol", "fields", "segment_meta"):
+        rows = lambda r: sorted(str(tuple(x[c] for c in r[name].columns)) for x in r[name].where("field <> '_id'" if "field" in r[name].columns else "true").collect())
+        assert rows(merged) == rows(rebuilt), name
+    everything = relations["stored"].select("segment_id", "doc_num").distinct()
+    none, _ = merge.merge_relations(relations, everything)
+    assert none["segment_meta"].first().num_docs == 0 and all(none[n].count() == 0 for n in none if n != "segment_meta")
+
+
+def test_merging_typed_and_term_columns(spark, tiny):
+    relations = DocumentIndex(tiny).relations()
+    terms = relations["docvalues"].unionByName(spark.createDataFrame([(2, 0, "n_chars", 0, "x")], relations["docvalues"].schema))
+    merged, _ = merge.merge_relations(relations | {"docvalues": terms}, spark.createDataFrame([], "segment_id bigint, doc_num bigint"))
+    assert merged["numcol"].count() == 0
+    assert sum(len(r.term) == 22 for r in merged["docvalues"].where("field = 'n_chars'").collect()) == 4
+
+
+def test_bitmaps(spark):
+    rows = lambda docs: spark.createDataFrame([(0, n) for n in docs], "segment_id bigint, doc_num bigint")
+    a, b = rows([0, 5, 40_000, 70_000]), rows([5, 6, 40_000, 99_999])
+    both = a.unionByName(b).distinct()
+    assert sorted((r.bucket, r.docs) for r in postings.union_bitmap(both).collect()) == [(0, 3), (1, 1), (2, 1), (3, 1)]
+    assert sorted((r.bucket, r.docs) for r in postings.intersection_bitmap(a, b).collect()) == [(0, 1), (1, 1)]
