@@ -44,27 +44,33 @@ def batches(postings: DataFrame, size: int = BATCH) -> DataFrame:
     return rows.groupBy("segment_id", F.floor(F.col("at") / size).alias("batch")).agg(F.count("*").alias("n"), F.min("doc_num").alias("first_doc"), F.max("doc_num").alias("last_doc"))
 
 
+def _chunked(postings: DataFrame, segment_docs: DataFrame) -> DataFrame:
+    """Postings with the size and number of their block.
+
+    The window that counts a term's postings covers one term of one segment, so at most
+    the documents of a segment, and its shuffle serves all that follows by block.
+    """
+    card = F.count("*").over(Window.partitionBy("segment_id", "term"))
+    rows = postings.withColumn("_card", card).join(F.broadcast(segment_docs), "segment_id")
+    rows = rows.withColumn("_size", fn.chunk_size(F.col("num_docs"), F.col("_card")))
+    return rows.withColumn("chunk", F.call_function("div", F.col("doc_num"), F.col("_size")))
+
+
 def block_bounds(postings: DataFrame, segment_docs: DataFrame) -> DataFrame:
     """(segment_id, term, chunk, max_freq, min_norm, end_doc, n) of the blocks of each term's postings.
 
     A block has num_docs div (doc_freq div 1024 + 1) documents. segment_docs: (segment_id, num_docs), a row per segment.
     """
-    sized = postings.select("segment_id", "term", "doc_num", "freq", "norm")
-    card = sized.groupBy("segment_id", "term").agg(F.count("*").alias("card")).join(F.broadcast(segment_docs), "segment_id")
-    card = card.select("segment_id", "term", fn.chunk_size(F.col("num_docs"), F.col("card")).alias("size"))
-    chunk = F.call_function("div", F.col("doc_num"), F.col("size"))
-    blocks = sized.join(card, ["segment_id", "term"]).groupBy("segment_id", "term", chunk.alias("chunk"), "size")
-    out = blocks.agg(F.max("freq").alias("max_freq"), F.min("norm").alias("min_norm"), F.count("*").alias("n"))
-    return out.select("segment_id", "term", "chunk", "max_freq", "min_norm", ((F.col("chunk") + 1) * F.col("size")).alias("end_doc"), "n")
+    rows = _chunked(postings.select("segment_id", "term", "doc_num", "freq", "norm"), segment_docs)
+    out = rows.groupBy("segment_id", "term", "chunk", "_size").agg(F.max("freq").alias("max_freq"), F.min("norm").alias("min_norm"), F.count("*").alias("n"))
+    return out.select("segment_id", "term", "chunk", "max_freq", "min_norm", ((F.col("chunk") + 1) * F.col("_size")).alias("end_doc"), "n")
 
 
 def skip_blocks(postings: DataFrame, segment_docs: DataFrame, competitive: Column) -> DataFrame:
-    """Postings in blocks whose bounds (max_freq, min_norm) pass: the bounds are filtered first, then joined on the block."""
-    bounds = block_bounds(postings, segment_docs).where(competitive).select("segment_id", "term", "chunk")
-    card = postings.groupBy("segment_id", "term").agg(F.count("*").alias("card")).join(F.broadcast(segment_docs), "segment_id")
-    size = card.select("segment_id", "term", fn.chunk_size(F.col("num_docs"), F.col("card")).alias("size"))
-    rows = postings.join(size, ["segment_id", "term"]).withColumn("chunk", F.call_function("div", F.col("doc_num"), F.col("size")))
-    return rows.join(bounds, ["segment_id", "term", "chunk"], "left_semi").select(*postings.columns)
+    """Postings in blocks whose bounds (max_freq, min_norm) pass."""
+    block = Window.partitionBy("segment_id", "term", "chunk")
+    rows = _chunked(postings, segment_docs).withColumns({"max_freq": F.max("freq").over(block), "min_norm": F.min("norm").over(block)})
+    return rows.where(competitive).select(*postings.columns)
 
 
 def union_bitmap(docs: DataFrame, span: int = BITMAP_DOCS) -> DataFrame:
