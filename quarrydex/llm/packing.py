@@ -233,7 +233,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, wi
     plan = docs.sparkSession.sparkContext.broadcast(make_plan(histogram, capacity))  # bounded by the lengths and the program's configurations
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l")))
+    # the counts grow with the parts and are small on disk only, so they aren't left to be broadcast
+    ranked = pieces.join(bases.hint("merge"), (F.col("part") == F.col("p")) & (F.col("length") == F.col("l")))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
