@@ -25,7 +25,6 @@ nothing, an empty documents table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrydex.llm import flattext as ft
-from quarrydex.llm.scratch import Scratch, fresh, keyed
+from quarrydex.llm.scratch import Scratch, fresh, keyed, small_batches
 
 LENGTH = 13
 #: Hit words of a contaminated document, as a share of its words: numerator and denominator.
@@ -209,6 +208,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, c
     items_sha256: of the items' ids, sorted as strings and joined by commas. spans:
     the hit runs as (first word, words).
     """
+    small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, block_bytes)
     block, rest = next(blocks), next(blocks, None)
     if rest is None:
@@ -277,6 +277,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, coverag
     of the benchmark makes one pass that collects spans; the cut needs no shuffle of
     texts for a one-block benchmark.
     """
+    small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, block_bytes)
     block, rest = next(blocks), next(blocks, None)
     if rest is not None:

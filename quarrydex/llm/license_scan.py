@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrydex.llm import flattext as ft
+from quarrydex.llm.scratch import small_batches
 from quarrydex.llm.substring_dedup import member, sliding_min
 
 GRAM = 3
@@ -137,6 +138,7 @@ def _near(diagonals: list[int], band: int) -> list[tuple[int, int]]:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, band: int = BAND, least: float = LEAST) -> DataFrame:
     """(doc_id, license, matched_words, template_words, coverage, first_word, end_word): a row for each match."""
+    small_batches(docs.sparkSession)
     index = TemplateIndex(templates)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

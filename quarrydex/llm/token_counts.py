@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarrydex.llm import flattext as ft
 from quarrydex.llm.encoder import Encoder, _odd, encoder
+from quarrydex.llm.scratch import small_batches
 
 LEAF = 64
 Edit = tuple[int, int, str]
@@ -176,6 +177,7 @@ def edited_counts(docs: DataFrame, tokenizer: str, edits: Callable[[str], list[E
     edits: a function of the text, or the name of a column array<struct<start,end,text>>.
     n_bytes_encoded: bytes encoded again for the edits.
     """
+    small_batches(docs.sparkSession)
     named = isinstance(edits, str)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrydex.llm import flattext as ft
-from quarrydex.llm.scratch import Scratch
+from quarrydex.llm.scratch import Scratch, small_batches
 
 GRAMS = (3, 4, 5)
 BITS = 20
@@ -174,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
