@@ -1,12 +1,18 @@
-"""License scan: winnowed template fingerprints pick candidates, banded alignment measures them.
+"""License scan: template words and winnowed fingerprints pick candidates, banded alignment measures them.
 
 Templates and documents are words (A-Z lower-cased, runs of letters, digits and
-non-ASCII characters). Of each WINDOW consecutive GRAM-word hashes of a template the
-smallest is posted in an inverted index with its template and place, so a shared run
-of WINDOW + GRAM - 1 words is always found. All GRAM-word hashes of a document are
-looked up; hits of one template whose diagonals (place in the document less place in
-the template) are within BAND make a candidate. Around it the template is aligned
-with the document's words in a band of BAND words to either side of the diagonals, for
+non-ASCII characters). A place in the document less the place of the same word in the
+template is a diagonal. Every band of 2 * BAND + 1 diagonals whose equal words cover
+``least`` of the template's places is a candidate, so no match within such a band is
+missed: one that leaves out k places at most has one of any k + 1, so only the
+surroundings of the k + 1 least common words are counted.
+
+Matches with wider gaps come from fingerprints: of each WINDOW consecutive GRAM-word
+hashes of a template the smallest is posted in an inverted index with its template and
+place. All GRAM-word hashes of a document are looked up; hits of one template whose
+diagonals are within BAND make a candidate of BAND diagonals to either side of them.
+
+In a candidate's diagonals the template is aligned with the document's words, for
 most matches with gaps in both. Coverage is matched words over the template's words;
 matches of at least ``least`` coverage are reported, with the words of the document
 they span. Of matches that overlap, the one of most matched words stays (ties: higher
@@ -28,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrydex.llm import flattext as ft
+from quarrydex.llm.quality_rules import STOP_WORDS
 from quarrydex.llm.scratch import small_batches
 from quarrydex.llm.substring_dedup import member, sliding_min
 
@@ -52,18 +59,25 @@ TEMPLATES = {
 
 
 class TemplateIndex:
-    """The inverted index of the templates' winnowed fingerprints."""
+    """The inverted index of the templates' winnowed fingerprints, and the places and hashes of their words."""
 
     def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
         self.gram = gram
         self.names = sorted(templates)
         self.words: list[list[bytes]] = []
+        self.places: list[dict[bytes, list[int]]] = []
+        self.hashes: list[np.ndarray] = []
         postings: dict[int, list[tuple[int, int]]] = {}
         for n, name in enumerate(self.names):
             (_, _, t), = ft.slices(pa.array([templates[name]]), 1 << 30)
             own, starts, ends, _ = ft.joined(t, ft.ALNUM_WORDS, lower=True)
             self.words.append(own.data[: own.off[-1]].tobytes().split())
-            h = ft.run_hashes(ft.word_hashes(own.data, starts, ends), gram)
+            places: dict[bytes, list[int]] = {}
+            for at, w in enumerate(self.words[-1]):
+                places.setdefault(w, []).append(at)
+            self.places.append(places)
+            self.hashes.append(ft.word_hashes(own.data, starts, ends))
+            h = ft.run_hashes(self.hashes[-1], gram)
             low = sliding_min(h, min(window, len(h))) if len(h) else h
             for k, m in enumerate(low.tolist()):
                 at = k + int(np.argmin(h[k : k + window]))
@@ -72,6 +86,17 @@ class TemplateIndex:
         self.postings = postings
         self.keys = np.sort(np.array(list(postings), np.uint64))
 
+    def need(self, n: int, least: float) -> int:
+        """The fewest matched words that are ``least`` of template n."""
+        size = len(self.words[n])
+        return next((m for m in range(1, size + 1) if m >= least * size), size + 1)
+
+    def anchors(self, n: int, need: int) -> np.ndarray:
+        """Sorted hashes of words of which every match of ``need`` words of template n has one; common words come last."""
+        words = self.words[n]
+        rare = sorted(range(len(words)), key=lambda at: (words[at].decode() in STOP_WORDS, -len(words[at]), at))
+        return np.unique(self.hashes[n][rare[: len(words) - need + 1]])
+
 
 def align(template: list[bytes], words: list[bytes], low: int, high: int) -> tuple[int, int, int]:
     """(matched words, first matched word of the document, word after the last) of the best alignment whose diagonals lie from low to high.
@@ -99,25 +124,37 @@ def align(template: list[bytes], words: list[bytes], low: int, high: int) -> tup
 
 def matches(index: TemplateIndex, column: pa.Array, band: int = BAND, least: float = LEAST) -> Iterator[tuple[int, str, int, int, int, int]]:
     """(row, template, matched words, template words, first word, word after the last)."""
+    needs = [index.need(n, least) for n in range(len(index.names))]
+    anchors = [index.anchors(n, need) for n, need in enumerate(needs)]
+    vocabulary = [np.unique(h) for h in index.hashes]
+    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *vocabulary]))
     for i, _, t in ft.slices(column):
         own, starts, ends, first = ft.joined(t, ft.ALNUM_WORDS, lower=True)
-        h = ft.run_hashes(ft.word_hashes(own.data, starts, ends), index.gram)
+        single = ft.word_hashes(own.data, starts, ends)
+        h = ft.run_hashes(single, index.gram)
         hit = np.flatnonzero(member(h, index.keys) & ft.inside(first, index.gram))
         docs = np.searchsorted(first, hit, "right") - 1
-        for d in np.unique(docs).tolist():
-            a, z = int(first[d]), int(first[d + 1])
+        near: dict[int, list[tuple[int, int, int]]] = {}
+        at = np.flatnonzero(member(single, every))
+        for n, need in enumerate(needs):
+            for d, x, y in _regions(at[member(single[at], vocabulary[n])], at[member(single[at], anchors[n])], first, need, len(index.words[n]) + 2 * band):
+                near.setdefault(d, []).append((n, x, y))
+        for d in sorted({*near, *docs.tolist()}):
+            a = int(first[d])
             words = own.data[own.off[d] : own.off[d + 1]].tobytes().split(b" ")
             lines: dict[int, set[int]] = {}
-            for p in hit[docs == d].tolist():
-                for n, at in index.postings[int(h[p])]:
-                    lines.setdefault(n, set()).add(p - a - at)
+            for p in hit[slice(*np.searchsorted(docs, [d, d + 1]))].tolist():
+                for n, place in index.postings[int(h[p])]:
+                    lines.setdefault(n, set()).add(p - a - place)
+            bands = {(n, low - band, high + band) for n, diagonals in lines.items() for low, high in _near(sorted(diagonals), band)}
+            for n, x, y in near.get(d, ()):
+                bands.update((n, low, low + 2 * band) for low in _full(index.places[n], words, x, y, needs[n], 2 * band))
             found = []
-            for n, diagonals in lines.items():
-                template = index.words[n]
-                for low, high in _near(sorted(diagonals), band):
-                    m, x, y = align(template, words, low - band, high + band)
-                    if m >= least * len(template):
-                        found.append((-m, -m / len(template), index.names[n], x, y, len(template)))
+            for n, low, high in sorted(bands):
+                m, x, y = align(index.words[n], words, low, high)
+                if m >= needs[n]:
+                    size = len(index.words[n])
+                    found.append((-m, -m / size, index.names[n], x, y, size))
             taken: list[tuple[int, int]] = []
             for m, _, name, x, y, size in sorted(found):
                 if all(y <= p or q <= x for p, q in taken):
@@ -125,6 +162,35 @@ def matches(index: TemplateIndex, column: pa.Array, band: int = BAND, least: flo
                     yield i + d, name, -m, size, x, y
 
 
+def _regions(at: np.ndarray, anchors: np.ndarray, first: np.ndarray, need: int, reach: int) -> Iterator[tuple[int, int, int]]:
+    """(document, first word, word after the last) of the surroundings, less than ``reach`` words to either side, of anchors that have ``need`` of the words at ``at`` in them; those that overlap are one."""
+    docs = np.searchsorted(first, anchors, "right") - 1
+    lo, hi = np.maximum(anchors - reach + 1, first[docs]), np.minimum(anchors + reach, first[docs + 1])
+    enough = np.searchsorted(at, hi) - np.searchsorted(at, lo) >= need
+    docs, lo, hi = docs[enough], lo[enough], hi[enough]
+    cuts = np.flatnonzero((docs[1:] != docs[:-1]) | (lo[1:] >= hi[:-1])) + 1
+    if len(docs):
+        begins, lasts = np.append(0, cuts), np.append(cuts, len(docs)) - 1
+        yield from zip(docs[begins].tolist(), (lo[begins] - first[docs[begins]]).tolist(), (hi[lasts] - first[docs[lasts]]).tolist())
+
+
+def _full(places: dict[bytes, list[int]], words: list[bytes], x: int, y: int, need: int, width: int) -> Iterator[int]:
+    """The diagonals from which, ``width`` further ones included, words x to y of the document have at least ``need`` places of a template."""
+    pairs = sorted((p - at, at) for p in range(x, y) for at in places.get(words[p], ()))
+    held: dict[int, int] = {}
+    z, before = 0, None
+    for diagonal, at in pairs:
+        while z < len(pairs) and pairs[z][0] <= diagonal + width:
+            held[pairs[z][1]] = held.get(pairs[z][1], 0) + 1
+            z += 1
+        if diagonal != before and len(held) >= need:
+            yield diagonal
+        before = diagonal
+        held[at] -= 1
+        if not held[at]:
+            del held[at]
+
+
 def _near(diagonals: list[int], band: int) -> list[tuple[int, int]]:
     """Ranges of sorted diagonals, cut where the next is over ``band`` away."""
     out: list[tuple[int, int]] = []

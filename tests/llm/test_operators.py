@@ -405,6 +405,24 @@ def test_license_matches():
     assert list(license_scan.matches(index, pa.array([" ".join(filler * 50)]))) == []
 
 
+def test_license_matches_of_all_changes_of_one_word():
+    """A document of a template with one word changed, left out or put in, against alignment in every band."""
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    for name, template in zip(index.names, index.words):
+        texts = []
+        for k in range(len(template)):
+            for new in ([], [b"xyzzy"], [template[k], b"xyzzy"]):
+                texts.append([b"thnd"] * 20 + template[:k] + new + template[k + 1 :] + [b"rendor"] * 20)
+        got = list(license_scan.matches(index, pa.array([b" ".join(w).decode() for w in texts])))
+        for i, w in enumerate(texts):
+            best = max(license_scan.align(template, w, low, low + 16)[0] for low in range(-8, 41))
+            mine = [r for r in got if r[0] == i]
+            assert [(r[1], r[2]) for r in mine] == ([(name, best)] if best >= 0.8 * len(template) else []), (name, w)
+    said = ["Distributed under the MIT License.", "Licensed under the MIT License.", "Licensed under XX BY-NC 4.0.", "Released xx under xx the xx MIT xx License"]
+    assert [r[:3] for r in license_scan.matches(index, pa.array(said))] == [(0, "MIT", 4), (1, "MIT", 4), (2, "CC-BY-NC-4.0", 6), (3, "MIT", 5)]
+    assert [r[1:] for r in license_scan.matches(license_scan.TemplateIndex({"short": "All rights"}), pa.array(["x all rights y"]))] == [("short", 2, 2, 1, 3)]
+
+
 def test_align_counts_matches_in_the_band():
     t = "a b c d e".split()
     t = [x.encode() for x in t]
