@@ -16,7 +16,8 @@ In a candidate's diagonals the template is aligned with the document's words, fo
 most matches with gaps in both. Coverage is matched words over the template's words;
 matches of at least ``least`` coverage are reported, with the words of the document
 they span. Of matches that overlap, the one of most matched words stays (ties: higher
-coverage, then the template's name).
+coverage, then the template's name, the shorter span, the earlier place); the words
+before and after it are aligned again, so each of several notices in a row is a match.
 
 Templates are a parameter of fixed size; they travel in the task's code.
 
@@ -26,6 +27,8 @@ repeated matches; null doc_ids are kept. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -149,17 +152,31 @@ def matches(index: TemplateIndex, column: pa.Array, band: int = BAND, least: flo
             bands = {(n, low - band, high + band) for n, diagonals in lines.items() for low, high in _near(sorted(diagonals), band)}
             for n, x, y in near.get(d, ()):
                 bands.update((n, low, low + 2 * band) for low in _full(index.places[n], words, x, y, needs[n], 2 * band))
-            found = []
-            for n, low, high in sorted(bands):
-                m, x, y = align(index.words[n], words, low, high)
-                if m >= needs[n]:
-                    size = len(index.words[n])
-                    found.append((-m, -m / size, index.names[n], x, y, size))
-            taken: list[tuple[int, int]] = []
-            for m, _, name, x, y, size in sorted(found):
-                if all(y <= p or q <= x for p, q in taken):
-                    taken.append((x, y))
-                    yield i + d, name, -m, size, x, y
+            found: list[tuple] = []
+
+            def push(n: int, low: int, high: int, x: int, y: int) -> None:
+                """The best match of a band within words x to y."""
+                template = index.words[n]
+                x, y = max(x, low), min(y, high + len(template))
+                if y - x >= needs[n]:
+                    m, p, q = align(template, words[x:y], low - x, high - x)
+                    if m >= needs[n]:
+                        heapq.heappush(found, (-m, -m / len(template), index.names[n], q - p, p + x, (n, low, high, x, y)))
+
+            for n, low, high in bands:
+                push(n, low, high, 0, len(words))
+            begins: list[int] = []
+            ends: list[int] = []
+            while found:
+                m, _, name, span, x, (n, low, high, lo, hi) = heapq.heappop(found)
+                k = bisect.bisect_right(ends, x)  # the first taken match that ends after x
+                if k == len(begins) or begins[k] >= x + span:
+                    begins.insert(k, x)
+                    ends.insert(k, x + span)
+                    yield i + d, name, -m, len(index.words[n]), x, x + span
+                # what is left of the band's words, before and after the match in the way
+                push(n, low, high, lo, begins[k])
+                push(n, low, high, ends[k], hi)
 
 
 def _regions(at: np.ndarray, anchors: np.ndarray, first: np.ndarray, need: int, reach: int) -> Iterator[tuple[int, int, int]]:

@@ -423,6 +423,18 @@ def test_license_matches_of_all_changes_of_one_word():
     assert [r[1:] for r in license_scan.matches(license_scan.TemplateIndex({"short": "All rights"}), pa.array(["x all rights y"]))] == [("short", 2, 2, 1, 3)]
 
 
+def test_license_notices_in_a_row():
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():
+        size = len(index.words[index.names.index(name)])
+        for n in range(1, 21):
+            found = sorted(license_scan.matches(index, pa.array(["thnd\n" + f"{text}\n" * n + "rendor"])), key=lambda r: r[4])
+            assert found == [(0, name, size, size, 1 + k * size, 1 + (k + 1) * size) for k in range(n)]
+    mixed = ["Licensed under the MIT License.", "Released under the MIT License.", license_scan.TEMPLATES["CC-BY-NC-4.0"]]
+    found = sorted(license_scan.matches(index, pa.array([" ".join(mixed * 7)])), key=lambda r: r[4])
+    assert [r[1] for r in found] == ["MIT", "MIT", "CC-BY-NC-4.0"] * 7 and all(a[5] <= b[4] for a, b in zip(found, found[1:]))
+
+
 def test_align_counts_matches_in_the_band():
     t = "a b c d e".split()
     t = [x.encode() for x in t]
