@@ -144,8 +144,7 @@ def dict_regex(spark, d):
 
 @query
 def dict_fuzzy(spark, d):
-    ascii_only = F.col("term").rlike("^[ -~]*$")
-    return _dict(spark, d, ascii_only & dictionary.near("there", 2))
+    return _dict(spark, d, dictionary.near("there", 2))
 
 
 @query

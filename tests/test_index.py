@@ -114,6 +114,25 @@ def test_dictionary_patterns(spark):
     assert dictionary.successor("\U0010ffff") is None and dictionary.successor("a\U0010ffff") == "b"
 
 
+def test_fuzzy_query_keeps_every_term_within_the_distance(spark, tmp_path):
+    from quarrydex.plans.queries import QUERIES
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    terms = {"there", "here", "été", "chére", "Élere", "érere", "th\U0001d11ere", "\U0001d11e\U0001d11eere", ""} | {"".join(rng.choices("therçéß\U0001d11e", k=rng.randint(1, 8))) for _ in range(2000)}
+    spark.createDataFrame([(k, t, "fr", "a", len(t)) for k, t in enumerate(sorted(terms))], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.term for r in QUERIES["dict_fuzzy"](spark, str(tmp_path)).collect()}
+    assert got == {t for t in terms if distance(t, "there") <= 2} and {"chére", "Élere", "th\U0001d11ere"} <= got
+
+
 def test_merge_equals_building_the_survivors(spark, tiny):
     drops = spark.createDataFrame([(1,), (4,)], "doc_id bigint")
     index = DocumentIndex(tiny)
