@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, leading path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Least share, and least number, of labelled URLs that have a rule's tokens and the bad label.
-MIN_SUPPORT = 0.002
+#: Least share, and least number, of labelled URLs that have a rule's tokens and the bad label. The number alone decides by default, so a bad host counts the same in a table of any size.
+MIN_SUPPORT = 0.0
 MIN_PAGES = 10
+#: Labelled URLs for each partition of FP-growth; each holds the sets of its own share of the tokens.
+PARTITION_PAGES = 10_000
 MIN_CONFIDENCE = 0.6
 MAX_BROADCAST_RULES = 100_000
 _BAD = "label=bad"
@@ -73,8 +75,10 @@ def tokens(url: Column) -> Column:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(words, confidence, support): token sets that imply the bad label, from (url, bad)."""
     baskets = labelled.where("url is not null and bad is not null").select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    support = min(1.0, max(min_support, min_pages / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    n = baskets.count()
+    support = min(1.0, max(min_support, (min_pages - 0.5) / max(1, n)))  # the half keeps rounding from asking for a page more
+    parts = max(baskets.sparkSession.sparkContext.defaultParallelism, -(-n // PARTITION_PAGES))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence, numPartitions=parts).fit(baskets)
     return model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD))).select(F.array_sort("antecedent").alias("words"), "confidence", "support")
 
 

@@ -75,6 +75,16 @@ def test_url_rules(spark):
     }
 
 
+def test_ten_bad_pages_make_a_rule_in_a_table_of_any_size(spark):
+    host = F.when(F.col("id") < 10, "rare.bad").when(F.col("id") < 19, "nine.bad").otherwise(F.concat(F.lit("h"), F.col("id") % 300, F.lit(".net")))
+    for n in (3000, 13000):
+        labelled = spark.range(n).select(F.concat(F.lit("http://"), host, F.lit("/x/"), F.col("id")).alias("url"), (F.col("id") < 19).alias("bad"))
+        pages = spark.createDataFrame([(1, "http://rare.bad/y/1"), (2, "http://h7.net/x/2"), (3, "http://nine.bad/y/3")], "page_id bigint, url string")
+        rules = {tuple(r.words): round(r.support * n) for r in url_filter.mine(labelled).collect()}
+        assert rules["name=rare",] == 10 and not any("name=nine" in words for words in rules)
+        assert {r.page_id for r in url_filter.filtered(pages, labelled, ()).collect() if r.verdict == "block"} == {1, 3}  # both hosts end in .bad
+
+
 def test_mined_url_rules_match_brute_force(spark):
     rng = random.Random(5)
     rows = []
