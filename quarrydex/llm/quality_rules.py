@@ -51,7 +51,7 @@ class Rule:
 RULES = (
     Rule("word length", "word_chars", "n_words", least=(2, 1), most=(15, 1)),
     Rule("symbols", "n_symbols", "n_words", most=(1, 10)),
-    Rule("stop words", "n_stop_words", "n_words", most=(6, 10)),
+    Rule("stop words", "n_stop_words", "n_words", least=(1, 100), most=(6, 10)),
     Rule("repeated lines", "n_dup_lines", "n_lines", most=(1, 2)),
 )
 

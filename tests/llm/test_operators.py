@@ -60,6 +60,14 @@ def test_quality_kept_rows(spark, docs, odd, empty):
     assert [r.kept for r in quality_rules.judge(edge).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_quality_needs_a_stop_word_in_a_hundred(spark):
+    lists = [["der"] * n + [f"word{i}" for i in range(size - n)] for n, size in ((0, 20), (0, 100), (1, 100), (1, 101), (2, 101), (12, 20), (13, 20))]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lists)], "doc_id bigint, text string")
+    assert [r.n_stop_words for r in quality_rules.judge(rows).orderBy("doc_id").collect()] == [0, 0, 1, 1, 2, 12, 13]
+    assert [r.doc_id for r in quality_rules.judge(rows).where(quality_rules.RULES[2].sql()).orderBy("doc_id").collect()] == [2, 4, 5]
+    assert {r.doc_id for r in quality_rules.kept(rows).collect()} & {0, 1, 3} == set()
+
+
 # URL filters
 
 
