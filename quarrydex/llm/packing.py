@@ -4,16 +4,19 @@ Documents become pieces of at most ``capacity`` tokens; only longer documents ar
 cut. What the plan needs of the corpus is its histogram of piece lengths: at most
 ``capacity`` numbers, whatever the input.
 
-1. Lengths over ``capacity / SMALL`` are grouped into classes of about equal token
-   mass, each rounded up to its longest length.
+1. Lengths are grouped into CLASSES classes of about equal token mass, each as long as
+   its longest length; with fewer lengths each is a class of its own.
 2. The configuration program (fewest sequences so that the configurations cover each
    class) is solved by multiplicative weights: a class's weight falls exponentially
    with its cover, and the pricing step finds the configuration of most weight by a
-   knapsack dynamic program over the capacity.
-3. The fractional solution is rounded down to whole configurations, filled with real
-   pieces, the longest of a class first.
-4. What is left, small lengths and the rest of each class, goes to the fullest
-   sequence with room (best fit, longest first), else to new sequences.
+   bounded knapsack dynamic program over the capacity, in tokens.
+3. The fractional solution is rounded to whole configurations, those with the longest
+   class first, and each is refined to real lengths: the longest of each class, of which
+   one or two are then exchanged so that the sequence is full. Configurations are taken
+   up to the number of sequences that the tokens fill. If that leaves more than TAIL
+   sequences' worth, the program is solved again for what is left.
+4. The rounding residue goes to the fullest sequence with room (best fit, longest
+   first), else to new sequences.
 
 Sequences of equal content are one entry with a multiplicity throughout, so the plan
 takes the same time for any number of pieces. It is a table of runs: pieces of one
@@ -29,8 +32,10 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,23 +48,26 @@ from quarrydex.llm.encoder import encoder
 from quarrydex.llm.scratch import Scratch
 
 CAPACITY = 4096
-#: Lengths up to capacity / SMALL stay out of the program and fill gaps.
-SMALL = 4
 CLASSES = 64
-#: The program's capacity in units; class lengths are rounded up to a unit.
-UNITS = 512
-STEP = 0.05
+#: Share of its demand that a pricing step covers of the class that limits it.
+STEP = 0.2
 ROUNDS = 4000
+#: Sequences' worth of residue that is left to best fit.
+TAIL = 16
+#: Exchanges of two lengths that are tried for a configuration's pair of pieces.
+_TRIES = 4
 
 
 class Plan:
     """Runs of pieces: those of one length with ranks from ``rank`` on lie at ``offset`` in sequences from ``sequence`` on."""
 
-    def __init__(self, runs: list[tuple[int, int, int, int]], sequences: int):
+    def __init__(self, runs: list[tuple[int, int, int, int]], sequences: int, configured: int = 0):
         length, rank, sequence, offset = (np.array(x, np.int64) for x in zip(*runs)) if runs else (np.zeros(0, np.int64),) * 4
         order = np.lexsort((rank, length))
         self.length, self.rank, self.sequence, self.offset = length[order], rank[order], sequence[order], offset[order]
         self.sequences = sequences
+        #: Pieces that configurations of the program place.
+        self.configured = configured
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sequence, offset) of pieces."""
@@ -68,26 +76,23 @@ class Plan:
         return self.sequence[at] + rank - self.rank[at], self.offset[at]
 
 
-def best_configuration(size: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each class in the configuration of most value: an unbounded knapsack by dynamic programming over the capacity."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(size, kind="stable")
-    s, v = size[order], value[order]
-    fits = np.searchsorted(s, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -1
-        if k := fits[c]:
-            gain = best[c - s[:k]] + v[:k]
-            top = int(gain.argmax())
-            if gain[top] > best[c]:
-                best[c], pick[c] = gain[top], top
-    copies, c = np.zeros(len(size), np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            copies[order[pick[c]]] += 1
-            c -= int(s[pick[c]])
+def best_configuration(size: np.ndarray, value: np.ndarray, capacity: int, most: np.ndarray) -> np.ndarray:
+    """Copies of each class, at most ``most`` of it, in the configuration of most value: a bounded knapsack by dynamic programming over the capacity."""
+    best = np.zeros((len(size) + 1, capacity + 1))  # best[k, c]: most value of the first k classes in c tokens
+    for k, (s, v, m) in enumerate(zip(size.tolist(), value.tolist(), most.tolist())):
+        now, left, part = best[k], min(m, capacity // s) if v > 0 else 0, 1
+        while left > 0:  # copies by parts of 1, 2, 4, ..., any number of which is a sum of some
+            part = min(part, left)
+            before, now = now, now.copy()
+            np.maximum(before[part * s :], before[: capacity + 1 - part * s] + part * v, out=now[part * s :])
+            left, part = left - part, 2 * part
+        best[k + 1] = now
+    copies, c, slip = np.zeros(len(size), np.int64), capacity, 1e-9 * best[-1, -1]
+    for k in range(len(size), 0, -1):
+        if best[k, c] > best[k - 1, c] + slip:
+            n = np.arange(min(int(most[k - 1]), c // int(size[k - 1])) + 1)
+            copies[k - 1] = np.argmax(best[k - 1, c - n * size[k - 1]] + n * value[k - 1] >= best[k, c] - slip)
+            c -= int(copies[k - 1] * size[k - 1])
     return copies
 
 
@@ -101,7 +106,7 @@ def solve_configurations(size: np.ndarray, demand: np.ndarray, capacity: int, st
         if low >= 1:
             break
         weight = np.where(cover >= 1, 0.0, np.exp(-rate * np.minimum(cover - low, 1)))
-        copies = np.minimum(best_configuration(size, weight / demand, capacity), demand)
+        copies = best_configuration(size, weight / demand, capacity, demand)
         used = np.flatnonzero(copies)
         amount = step * float((demand[used] / copies[used]).min())
         cover[used] += amount * copies[used] / demand[used]
@@ -110,51 +115,117 @@ def solve_configurations(size: np.ndarray, demand: np.ndarray, capacity: int, st
     return [(x, c) for x, c in found.values()]
 
 
-def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES) -> Plan:
-    """The packing of a histogram {length: pieces}, lengths from 1 to capacity: the rounded program, or the packing without any configuration where rounding its classes up has cost a sequence."""
-    return min((rounded(histogram, capacity, k) for k in (classes, 0)), key=lambda p: p.sequences)
+class Stock:
+    """The pieces that are left, by length."""
 
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.left = {n: c for n, c in histogram.items() if c > 0}
+        self.lengths = sorted(self.left)
+        self.has = np.zeros(capacity + 1, bool)
+        self.has[self.lengths] = True
 
-def rounded(histogram: dict[int, int], capacity: int, classes: int) -> Plan:
-    """The plan of a program with so many classes; with none, every piece goes by best fit."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    next_rank = dict.fromkeys(left, 0)
-    room: list[list] = [[] for _ in range(capacity + 1)]  # by free tokens: (content, multiplicity); content: (length, copies, before) links
+    def tokens(self) -> int:
+        return sum(n * c for n, c in self.left.items())
+
+    def take(self, length: int, n: int) -> None:
+        self.left[length] -= n
+        if not self.left[length]:
+            del self.left[length]
+            self.lengths.pop(bisect.bisect_left(self.lengths, length))
+            self.has[length] = False
+
+    def classes(self, n: int) -> list[list[int]]:
+        """The lengths in at most n classes of about equal token mass."""
+        if len(self.lengths) <= n:
+            return [[x] for x in self.lengths]
+        mass = np.cumsum([x * self.left[x] for x in self.lengths], dtype=np.float64)
+        of = np.minimum((mass - 1e-9) * n / mass[-1], n - 1).astype(int)
+        return [[x for x, k in zip(self.lengths, of) if k == g] for g in np.unique(of)]
+
+    def covers(self, content: Counter) -> bool:
+        return all(self.left.get(x, 0) >= n for x, n in content.items())
+
+    def refined(self, content: Counter) -> Counter:
+        """The content with one or two pieces beside its longest exchanged for lengths that fill the sequence; else pieces exchanged or added while that leaves less room."""
+        room = self.capacity - sum(x * n for x, n in content.items())
+        own = sorted(content, reverse=True)
+        rest = own[1:] or own
+        pairs = [(x, y) for i, x in enumerate(rest) for y in rest[i:] if x != y or content[x] > 1]
+        for out in [(x,) for x in reversed(rest)] + pairs if room else ():
+            want = sum(out) + room
+            if want > self.capacity:
+                continue
+            if len(out) == 1:
+                new = [(want,)] if self.has[want] else []
+            else:  # the two lengths of that sum nearest to the old ones first
+                a = np.flatnonzero(self.has[1:want] & self.has[want - 1 : 0 : -1]) + 1
+                new = [(int(x), want - int(x)) for x in a[np.argsort(np.abs(a - out[0]), kind="stable")[:_TRIES]]]
+            for found in new:
+                changed = content - Counter(out) + Counter(found)
+                if self.covers(changed):
+                    return changed
+        while room:
+            gains = []
+            for x in [*rest, 0]:
+                k = bisect.bisect_right(self.lengths, x + room) - 1
+                while k >= 0 and self.lengths[k] > x and self.left[self.lengths[k]] <= content[self.lengths[k]]:
+                    k -= 1
+                if k >= 0 and self.lengths[k] > x:
+                    gains.append((self.lengths[k] - x, x, self.lengths[k]))
+            if not gains:
+                break
+            gain, x, y = max(gains)
+            content = content - Counter([x] if x else []) + Counter([y])
+            own = sorted(content, reverse=True)
+            rest = own[1:] or own
+            room -= gain
+        return content
 
-    def take(lengths: list[int], n: int) -> None:
-        free = capacity - sum(lengths)
-        content = None
-        for x in lengths:
-            content = (x, 1, content)
-            left[x] -= n
-        room[free].append((content, n))
-
-    large = sorted(n for n in left if n > capacity // SMALL)
-    if large and classes:
-        mass = np.cumsum([n * left[n] for n in large], dtype=np.float64)
-        of = np.minimum((mass - 1e-9) * classes / mass[-1], classes - 1).astype(int)
-        groups = [[n for n, g in zip(large, of) if g == k] for k in np.unique(of)]
-        unit = -(-capacity // UNITS)
-        size = np.array([-(-g[-1] // unit) for g in groups])
-        demand = np.array([sum(left[n] for n in g) for g in groups])
-        for amount, copies in sorted(solve_configurations(size, demand, capacity // unit), key=lambda x: -x[0]):
-            whole = int(amount)
-            used = np.flatnonzero(copies).tolist()
-            whole = min([whole, *(sum(left[n] for n in groups[g]) // int(copies[g]) for g in used)])
-            while whole > 0:  # sequences alike as long as no length of a class runs out
-                lengths, n = [], whole
-                for g in used:
-                    need = int(copies[g])
-                    for x in reversed(groups[g]):
-                        if need and left[x]:
-                            k = min(need, left[x])
-                            lengths += [x] * k
-                            n = min(n, left[x] // k)
-                            need -= k
-                take(lengths, n)
-                whole -= n
-    for x in sorted(left, reverse=True):
-        n, left[x] = left[x], 0
+
+def configured(stock: Stock, classes: int) -> Iterator[tuple[Counter, int]]:
+    """(content, sequences) of the rounded program over the stock, which are taken from it."""
+    groups = stock.classes(classes)
+    demand = np.array([sum(stock.left[n] for n in g) for g in groups])
+    budget = max(1, stock.tokens() // stock.capacity)
+    found = solve_configurations(np.array([g[-1] for g in groups]), demand, stock.capacity)
+    for amount, copies in sorted(found, key=lambda x: (-np.flatnonzero(x[1])[-1], -x[0])):
+        whole = min(max(1, int(amount)), budget)
+        budget -= whole
+        while whole > 0:  # sequences alike as long as none of their lengths runs out
+            content: Counter = Counter()
+            for g in np.flatnonzero(copies).tolist():
+                need = int(copies[g])
+                for x in reversed(groups[g]):
+                    if need and (k := min(need, stock.left.get(x, 0))):
+                        content[x] += k
+                        need -= k
+            if not content:
+                budget += whole
+                break
+            content = stock.refined(content)
+            n = min(whole, *(stock.left[x] // k for x, k in content.items()))
+            for x, k in content.items():
+                stock.take(x, k * n)
+            yield content, n
+            whole -= n
+
+
+def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES) -> Plan:
+    """The packing of a histogram {length: pieces}, lengths from 1 to capacity."""
+    stock = Stock(histogram, capacity)
+    room: list[list] = [[] for _ in range(capacity + 1)]  # by free tokens: (content, multiplicity); content: (length, copies, before) links
+    placed = 0
+    while stock.left:
+        for lengths, n in configured(stock, classes):
+            content = None
+            for x, k in sorted(lengths.items(), reverse=True):
+                content = (x, k, content)
+                placed += k * n
+            room[capacity - sum(x * k for x, k in lengths.items())].append((content, n))
+        if stock.tokens() <= TAIL * capacity:
+            break
+    for x, n in sorted(stock.left.items(), reverse=True):
         free = x
         while n > 0:
             while free <= capacity and not room[free]:
@@ -174,6 +245,7 @@ def rounded(histogram: dict[int, int], capacity: int, classes: int) -> Plan:
                 many, n = many - 1, 0
             if many:
                 room[free].append((content, many))
+    next_rank = dict.fromkeys(histogram, 0)
     runs: list[tuple[int, int, int, int]] = []
     sequence = 0
     for group in room:
@@ -188,7 +260,7 @@ def rounded(histogram: dict[int, int], capacity: int, classes: int) -> Plan:
                     next_rank[x] += many
                     offset += x
             sequence += many
-    return Plan(runs, sequence)
+    return Plan(runs, sequence, placed)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

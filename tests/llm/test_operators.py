@@ -381,7 +381,45 @@ def test_configurations_cover_the_demand():
     cover = sum(x * c for x, c in found)
     assert (cover >= demand * 0.999).all() and all((c * size).sum() <= 16 for _, c in found)
     assert sum(x for x, _ in found) <= 1.25 * (size * demand).sum() / 16 + 1
-    assert packing.best_configuration(np.array([4, 5]), np.array([4.0, 5.5]), 13).tolist() == [2, 1]
+    assert packing.best_configuration(np.array([4, 5]), np.array([4.0, 5.5]), 13, np.array([9, 9])).tolist() == [2, 1]
+    assert packing.best_configuration(np.array([4, 5]), np.array([4.0, 5.5]), 13, np.array([1, 1])).tolist() == [1, 1]
+
+
+def test_configurations_place_the_pieces():
+    """The plan comes from the program: best fit places a residue, and the sequences are as few as tokens allow, or nearly."""
+    rng = np.random.default_rng(3)
+    for sizes in (rng.lognormal(6, 1.2, 10_000), rng.lognormal(5, 2, 40_000), rng.integers(1, 4097, 5000), rng.integers(1400, 1500, 5000)):
+        histogram = dict(Counter(np.clip(sizes, 1, 4096).astype(int).tolist()))
+        plan, pieces = packing.make_plan(histogram), sum(histogram.values())
+        assert plan.configured >= 0.95 * pieces
+        bound = max(-(-sum(n * c for n, c in histogram.items()) // 4096), sum(c for n, c in histogram.items() if n > 2048), -(-sum(c for n, c in histogram.items() if n > 1365) // 2))
+        assert plan.sequences <= 1.005 * bound + 1
+
+
+def fewest(pieces, capacity):
+    best = len(pieces)
+
+    def go(i, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if i == len(pieces):
+            best = len(free)
+            return
+        for k in {f: k for k, f in enumerate(free) if f >= pieces[i]}.values():
+            go(i + 1, [*free[:k], free[k] - pieces[i], *free[k + 1 :]])
+        go(i + 1, [*free, capacity - pieces[i]])
+
+    go(0, [])
+    return best
+
+
+def test_plans_of_few_pieces_against_all_packings():
+    rng = random.Random(1)
+    for _ in range(200):
+        capacity = rng.choice([10, 16, 20, 30])
+        pieces = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 10))), reverse=True)
+        assert packing.make_plan(Counter(pieces), capacity).sequences == fewest(pieces, capacity), pieces
 
 
 def test_pack(docs, odd, empty):
