@@ -114,6 +114,76 @@ def test_mined_url_rules_match_brute_force(spark):
         assert (r.verdict == "block") == any(set(x.words) <= tokens[rows[r.page_id][0]] for x in rules)
 
 
+def brute_rules(rows, tokens, min_pages, min_confidence, min_lift=url_filter.MIN_LIFT):
+    """All sets of up to three tokens that pass, less those with a part as confident; of tokens that the same URLs have only the first counts."""
+    from itertools import combinations
+
+    of: dict = {}
+    for k, (url, _) in enumerate(rows):
+        for w in tokens[url]:
+            of.setdefault(w, set()).add(k)
+    first = {frozenset(v): min(w for w in of if of[w] == v) for v in of.values()}
+    bad = {k for k, (_, b) in enumerate(rows) if b}
+    found = {}
+    for size in (1, 2, 3):
+        for words_ in combinations(sorted(first.values()), size):
+            has = set.intersection(*(of[w] for w in words_))
+            n = len(has & bad)
+            if n >= min_pages and n >= min_confidence * len(has) and n * len(rows) >= min_lift * len(bad) * len(has):
+                found[words_] = n / len(has)
+    return {w: c for w, c in found.items() if not any(set(x) < set(w) and found[x] >= c for x in found)}
+
+
+def test_all_rules_of_brute_force_are_found(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        names = [n for n in ("a", "b", "c", "d", "e", "f", "g", "h", "k", "m", "n", "o") if rng.random() < 0.7]  # more tokens than a basket has
+        host = rng.choice(["one.org", "two.net", "m.two.net"])
+        bad = ("a" in names and "f" not in names and host == "one.org") or (host == "m.two.net" and rng.random() < 0.8) or rng.random() < 0.1
+        rows.append((f"http://{host}/p{i % 3}/{i}?" + "&".join(f"{n}={i}" for n in names), bad))
+    rows += rows[:25]
+    labelled = spark.createDataFrame([*rows, (None, True), ("nourl", True), ("http://x.org/1", None)], "url string, bad boolean")
+    tokens = {r.url: set(r.t) for r in labelled.select("url", url_filter.tokens(F.col("url")).alias("t")).collect()}
+    rows.append(("nourl", True))
+    got = {tuple(r.words): r.confidence for r in url_filter.mine(labelled, min_pages=6, min_confidence=0.7).collect()}
+    want = brute_rules(rows, tokens, 6, 0.7)
+    assert len(want) > 5 and any(len(w) == 3 for w in want)
+    assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
+def test_planted_rules_judge_pages_of_the_registered_query(spark, tmp_path):
+    rng = random.Random(3)
+    label, pages = [], []
+    for i in range(600):
+        host = rng.choice(["spam.win", "good.net", "m.good.net", "fine.dev"])
+        label.append((i, 0 if host == "spam.win" or (host == "m.good.net" and i % 2) else 1, 0))
+        pages.append((i, f"https://{host}/{'ads' if i % 2 else 'en'}/{i}", None))
+    pages += [(1000, "https://x.spam.win/new", "h"), (1001, "https://good.net/ads/x", None), (1002, None, None), (None, "https://spam.win/none", None), (1003, "https://sub.example.org/es/spam.win", None)]
+    spark.createDataFrame(label, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    for name in ("host", "tokens", "key", "words", "n"):  # extra columns of clashing names
+        table = table.withColumn(name, F.lit("clash"))
+    table.write.parquet(str(tmp_path / "pages.parquet"))
+    out = {r.page_id: r for r in queries.op3_url_filters(spark, str(tmp_path)).collect()}
+    assert len(out) == len(pages)
+    for i, (_, quality, _) in enumerate(label):
+        assert (out[i].verdict == "block") == (quality == 0), pages[i]
+    assert out[1000].verdict == out[None].verdict == "block" and "name=win" in out[1000].blocked_by or "name=spam" in out[1000].blocked_by
+    assert out[1001].verdict == out[1002].verdict == "allow" and out[1003].rule == "example.org/es/" and out[1003].verdict == "block"
+    marked = url_filter.labelled_pages(table, spark.createDataFrame(label, "doc_id bigint, quality int, toxic int"))
+    quality = url_filter.held_out_quality(marked).first()
+    assert quality.blocked == quality.blocked_bad == quality.bad > 0
+
+
+def test_url_filter_of_empty_tables(spark):
+    none = spark.createDataFrame([], "url string, bad boolean")
+    pages = spark.createDataFrame([], "page_id bigint, url string")
+    assert url_filter.mine(none).count() == 0 and url_filter.filtered(pages, none).count() == 0
+    some = spark.createDataFrame([(f"http://h.org/{i}", True) for i in range(20)], none.schema)
+    assert url_filter.filtered(pages, some).count() == 0 and url_filter.mine(some).count() == 0  # all URLs bad: no rule says more
+
+
 # decontamination
 
 
