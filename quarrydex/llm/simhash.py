@@ -8,12 +8,17 @@ each, so tallying over them would be quadratic. The index is therefore keyed by
 every choice of that many positions with the bytes found there (28 keys for two
 bits): a pair meets in a list exactly if its tally reaches the minimum. The bits
 left free by a key bound a list of distinct fingerprints to 65,536 entries for two
-bits, whatever the input. Each list is verified by Hamming distance and gives a
-star of links for each of its connected parts, never all of its pairs. Equal
+bits, whatever the input. Within a list each member looks up the members that differ
+in few enough of the free bits (136 places for two bits), so a list costs in
+proportion to its length. The shared positional bytes of each pair that meets are
+tallied, pairs under the minimum go, and the others are verified by Hamming distance.
+Lists give a star of links for each connected part, never all of its pairs. Equal
 fingerprints are one entry of the index.
 
 Components are then found by alternating large-star and small-star steps, each a
-shuffle of links; nothing of the corpus goes to the driver.
+shuffle of links; nothing of the corpus goes to the driver. What is joined by a node is
+written first: a join of two written tables is one that Spark splits where a node has
+many links.
 
 Nulls and oddities: a null text has no words; a text without words has fingerprint
 zero and links like any other. A null doc_id is a row of its own, passes over as a
@@ -108,36 +113,33 @@ def _min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def met(fp: np.ndarray, mask: int, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the linked pairs among the sorted members of the lists of one choice of positions."""
+    free = [b for b in range(64) if not (mask >> b) & 1]
+    flips = [sum(1 << b for b in c) for k in range(1, max_bits + 1) for c in combinations(free, k)]
+    here, there = [], []
+    for f in flips:  # what differs in free bits alone has the same key
+        want = fp ^ np.uint64(f)
+        at = np.minimum(np.searchsorted(fp, want), len(fp) - 1)
+        hit = np.flatnonzero((fp[at] == want) & (fp < want))
+        here.append(hit)
+        there.append(at[hit])
+    i, j = np.concatenate(here), np.concatenate(there)
+    differ = fp[i] ^ fp[j]
+    tally = (differ[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    ok = (tally >= 8 - max_bits) & (np.bitwise_count(differ) <= max_bits)
+    return i[ok], j[ok]
+
+
 def linked_parts(fp: np.ndarray, mask: int, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(fp, smallest fp of its part) for the parts of one posting list of distinct fingerprints."""
-    n = len(fp)
-    if n <= 256:
-        i, j = np.triu_indices(n, 1)
-        diff = fp[i] ^ fp[j]
-        shared = (diff[:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        ok = shared >= 8 - max_bits
-        ok[ok] = np.bitwise_count(diff[ok]) <= max_bits
-        i, j = i[ok], j[ok]
-    else:  # the list's members differ in the free bits alone: look up every neighbour
-        free = [b for b in range(64) if not (mask >> b) & 1]
-        flips = [sum(1 << b for b in c) for k in range(1, max_bits + 1) for c in combinations(free, k)]
-        order = np.argsort(fp)
-        own, ii, jj = fp[order], [], []
-        for f in flips:
-            want = own ^ np.uint64(f)
-            at = np.minimum(np.searchsorted(own, want), n - 1)
-            hit = np.flatnonzero((own[at] == want) & (own < want))
-            ii.append(order[hit])
-            jj.append(order[at[hit]])
-        i, j = np.concatenate(ii), np.concatenate(jj)
+    """(fp, smallest fp of its part) for the connected parts of posting lists of distinct fingerprints under one choice of positions."""
+    fp = np.sort(fp)
+    i, j = met(fp, mask, max_bits) if len(fp) > 1 else (fp[:0], fp[:0])
     if not len(i):
         return fp[:0], fp[:0]
-    order = np.argsort(fp)  # labels by the order of values
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    label = _min_labels(n, rank[i], rank[j])
-    moved = np.flatnonzero(label != np.arange(n))
-    return fp[order[moved]], fp[order[label[moved]]]
+    label = _min_labels(len(fp), i, j)
+    moved = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[moved], fp[label[moved]]
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -148,9 +150,11 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def done(s, key, fp) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (key[1:] != key[:-1])]))
-            size = np.diff(np.append(cut, len(s)))
-            found = [linked_parts(fp[c : c + n], masks[s[c]] % (1 << 64), max_bits) for c, n in zip(cut[size > 1], size[size > 1])]
+            new = np.concatenate([[True], (s[1:] != s[:-1]) | (key[1:] != key[:-1]), [True]])
+            shared = ~(new[:-1] & new[1:])  # not alone in a list
+            s, fp = s[shared], fp[shared]
+            turn = np.flatnonzero(np.diff(s, prepend=-1, append=-1))
+            found = [linked_parts(fp[x:y], masks[s[x]] % (1 << 64), max_bits) for x, y in zip(turn[:-1], turn[1:])]
             a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
             b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
@@ -176,21 +180,22 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component with links, by large-star and small-star steps.
 
-    A node of many links is no single group: minima are taken with partial
-    aggregation, and the join that hands them out is one that AQE splits.
+    A node of many links is no single group: minima are taken with partial aggregation
+    and written, so that the join that hands them out is one that Spark splits.
     """
     now, seen, step = scratch.write(edges.where("a <> b"), "edges-0"), None, 0
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = scratch.write(low, f"low-{step}")
+        large = scratch.write(both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), f"large-{step}")
+        low = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")), f"least-{step}")
         small = large.join(low, "a")
         moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         step += 1
         new = scratch.write(moved, f"edges-{step}")
         state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        scratch.drop(f"edges-{step - 1}")
+        scratch.drop(*[f"{name}-{step - 1}" for name in ("edges", "low", "large", "least")])
         if state == seen:
             return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
         now, seen = new, state
@@ -207,9 +212,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX
     distinct = scratch.write(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(scratch, links(distinct.select("fp"), max_bits))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = scratch.write(rooted, "rooted")
+    least = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = scratch.write(rooted.join(least, "root").select("fp", "component_id"), "named")
-    scratch.drop("distinct")
+    scratch.drop("distinct", "rooted", "least")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -15,7 +15,9 @@ seventh of the windows' number. A new batch is
 2. written as a run, range-partitioned and sorted by (fingerprint, key): hot
    fingerprints spread over partitions by key;
 3. merge-joined with the runs: fingerprints that occur in two documents, of which one
-   is new, name the candidates. Counts are pre-aggregated, the join is one AQE splits;
+   is new, name the candidates. They are counted with partial aggregation and written;
+   the join that hands them out is one of two shuffled tables, which Spark splits where
+   a fingerprint has many rows;
 4. verified: the texts of candidate documents (and of documents that repeat a window
    in themselves) are read again, and each candidate window is identified by 96 bits
    of two independent hashes over its whole word sequence, the first document of each
@@ -226,6 +228,7 @@ class FingerprintIndex:
         for _, old in self.runs:
             every = every.unionByName(old.select("print", "doc_key", F.lit(0).alias("new")))
         shared = every.groupBy("print").agg(F.count("*").alias("n"), F.max("new").alias("new")).where("n > 1 and new = 1").select("print")
+        shared = s.write(shared, f"shared-{b}")  # so that the join below can be split where one print holds many documents
         wanted = every.join(shared, "print", "left_semi").select("doc_key", "print")
         wanted = wanted.groupBy("doc_key").agg(F.collect_list("print").alias("prints"))
         inner = lead.where("inner").select(F.col("doc_key").alias("inner_key"))
@@ -239,7 +242,7 @@ class FingerprintIndex:
         if wanted.count() <= BROADCAST_KEYS:
             texts = texts.join(F.broadcast(wanted.select("doc_key")), "doc_key", "left_semi")
         texts = s.write(texts.join(wanted, "doc_key"), f"texts-{b}")
-        s.drop(f"wanted-{b}")
+        s.drop(f"wanted-{b}", f"shared-{b}")
         first = candidate_windows(texts, self.window, self.gram).groupBy("h1", "h2").agg(F.min("doc_key").alias("doc_key"))
         owned = s.write(first.groupBy("doc_key").agg(F.collect_list("h1").alias("owned")), f"owned-{b}")
         s.release()

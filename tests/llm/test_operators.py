@@ -609,3 +609,23 @@ def test_scratch_uses_the_shared_folder():
 
 def test_names():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)] and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_joins_of_hot_keys_are_split(spark):
+    """One fingerprint in all documents, one hub of all links: no task of the joins gets all of their rows."""
+    keys = ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("20k", "20k", "false", "-1")):
+            spark.conf.set(k, v)
+        scratch = Scratch(spark, "test")
+        rows = scratch.write(spark.range(0, 200_000, 1, 8).select((F.col("id") % 7 * F.lit(0) + 5).alias("print"), F.xxhash64("id").alias("doc_key")).unionByName(spark.range(1000).select(F.col("id").alias("print"), F.col("id").alias("doc_key"))), "rows")
+        shared = scratch.write(rows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "shared")
+        sizes = [r["count"] for r in scratch.write(rows.join(shared, "print", "left_semi").withColumn("part", F.spark_partition_id()), "joined").groupBy("part").count().collect()]
+        assert sum(sizes) == 200_001 and max(sizes) < 150_000
+        links = spark.range(1, 20_000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+        roots = simhash.components(scratch, links)
+        assert roots.where("root = 0").count() == 19_999
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
