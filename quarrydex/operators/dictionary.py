@@ -36,13 +36,47 @@ def with_prefix(prefix: str) -> Column:
 
 
 def literal_prefix(pattern: str) -> str:
-    """The literal text that every match of a pattern starts with."""
-    if "|" in re.sub(r"\(.*\)|\[.*\]", "", pattern):
-        return ""
+    """The literal text that every match of a pattern starts with; none for a pattern with an alternative outside of groups."""
+    depth, k = 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            if pattern[k + 1 : k + 2] == "Q":  # quoted text, up to its end
+                k = (pattern + "\\E").find("\\E", k)
+            k += 1
+        elif c == "[":
+            k = _class_end(pattern, k)
+        elif c == "|" and not depth:
+            return ""
+        depth += (c == "(") - (c == ")")
+        k += 1
     lead = re.match(r"[\w ]*", pattern, re.ASCII)[0]
     return lead[:-1] if pattern[len(lead) : len(lead) + 1] in ("?", "*", "{", "+") else lead
 
 
+def _class_end(pattern: str, k: int) -> int:
+    """The place of the bracket that ends the class which begins at k; classes may be nested."""
+    depth = 0
+    first = True
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif c == "[":
+            depth += 1
+            first = True
+            k += pattern[k + 1 : k + 2] == "^"
+            k += 1
+            continue
+        elif c == "]" and not first:
+            depth -= 1
+            if not depth:
+                return k
+        first = False
+        k += 1
+    return k
+
+
 def matching(pattern: str) -> Column:
     """A pattern over the whole term, with the range of its literal prefix beside it."""
     return with_prefix(literal_prefix(pattern)) & F.col("term").rlike(f"^(?:{pattern})$")
@@ -58,6 +92,13 @@ def dictionary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("freq").alias("total_freq"))
 
 
+def scan(relation: DataFrame, field: str, where: Column | None = None) -> DataFrame:
+    """(term, doc_freq, total_freq) over all segments of a written dictionary; the filters reach the scan."""
+    rows = relation.where(F.col("field") == field)
+    rows = rows if where is None else rows.where(where)
+    return rows.groupBy("term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_freq").alias("total_freq"))
+
+
 def contains(terms: DataFrame, probes: list[str]) -> DataFrame:
     """(probe, found) for each probe; only probed terms leave the scan."""
     spark = terms.sparkSession

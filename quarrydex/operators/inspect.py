@@ -46,5 +46,6 @@ def docvalues(relations: Relations, segment_id: int, doc_num: int, names: list[s
 
 
 def size_in_bytes(relations: Relations) -> dict[str, int]:
-    """Catalyst's size of each relation."""
-    return {name: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for name, df in relations.items()}
+    """Catalyst's size of each relation that has rows."""
+    sizes = {name: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for name, df in relations.items()}
+    return {name: size for name, size in sizes.items() if size}

@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 from quarrydex import functions as fn
 from quarrydex.operators.numbering import dense_numbers
+from quarrydex.operators.postings import block_bounds
+
+
+_KEY = ["segment_id", "doc_num"]
+
+
+def _key(rows: DataFrame) -> list[str]:
+    """What names a document in rows: its id where they have one, else its segment and number."""
+    return ["doc_id"] if "doc_id" in rows.columns else _KEY
 
 
 def survivors(numbers: DataFrame, drops: DataFrame) -> DataFrame:
-    """(doc_id, segment_id, doc_num) of documents that aren't dropped."""
-    return numbers.join(drops.select("doc_id"), "doc_id", "left_anti")
+    """Documents (segment_id, doc_num, doc_id if known) that aren't dropped."""
+    key = _key(drops)
+    return numbers.join(drops.select(*key), key, "left_anti")
 
 
 def renumbered(numbers: DataFrame, drops: DataFrame) -> DataFrame:
-    """(doc_id, segment_id, doc_num, new_doc_num): dense numbers over the survivors, segment by segment.
+    """(segment_id, doc_num, new_doc_num, doc_id if known): dense numbers over the survivors, segment by segment.
 
     The numbers before a segment are the sums of the survivor counts (a row per segment).
     """
@@ -23,19 +33,21 @@ def renumbered(numbers: DataFrame, drops: DataFrame) -> DataFrame:
     counts = local.groupBy("segment_id").agg(F.count("*").alias("n"))
     before = Window.orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("segment_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return local.join(F.broadcast(base), "segment_id").select("doc_id", "segment_id", "doc_num", (F.col("base") + F.col("local")).alias("new_doc_num"))
+    return local.join(F.broadcast(base), "segment_id").select(*numbers.columns, (F.col("base") + F.col("local")).alias("new_doc_num"))
 
 
 def moved(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Rows by doc_id with new_doc_num, without those of dropped documents."""
-    return rows.join(numbers.select("doc_id", "new_doc_num"), "doc_id")
+    """Rows with new_doc_num, without those of dropped documents."""
+    key = _key(rows)
+    return rows.join(numbers.select(*key, "new_doc_num"), key)
 
 
 def mixed_terms(values: DataFrame, typed: DataFrame) -> DataFrame:
     """Values of a column that some segment (typed: segment_id, is_numeric) has as terms only: prefix-coded terms throughout, else integers as they are."""
-    numeric = typed.agg(F.bool_and("is_numeric")).first()[0] is not False
-    term, number = fn.prefix_coded(F.col("value")), F.col("value")
-    return values.select(*values.columns, (F.lit(None).cast("string") if numeric else term).alias("term"), (number if numeric else F.lit(None).cast("bigint")).alias("number"))
+    numeric = typed.agg(F.coalesce(F.bool_and("is_numeric"), F.lit(True)).alias("_numeric"))  # one row
+    rows = values.join(F.broadcast(numeric), F.lit(True))
+    term, number = F.when(~F.col("_numeric"), fn.prefix_coded(F.col("value"))), F.when(F.col("_numeric"), F.col("value"))
+    return rows.select(*values.columns, term.alias("term"), number.alias("number"))
 
 
 def source_bounds(meta: DataFrame) -> DataFrame:
@@ -58,16 +70,10 @@ def merge_relations(relations: dict[str, DataFrame], drops: DataFrame, into: int
     are kept. A column that some segment holds as terms becomes prefix-coded terms. Time
     bounds come from the sources. No survivors make a valid empty segment.
     """
-    key = ["segment_id", "doc_num"]
-    live = relations["stored"].where("field = '_id'").select(*key).distinct().join(drops.select(*key), key, "left_anti")
-    local = dense_numbers(live, ["segment_id"], "doc_num", "local")
-    counts = local.groupBy("segment_id").agg(F.count("*").alias("n"))
-    before = Window.orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("segment_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbers = local.join(F.broadcast(base), "segment_id").select(*key, (F.col("base") + F.col("local")).alias("new_doc_num"))
+    numbers = renumbered(relations["stored"].where("field = '_id'").select(*_KEY).distinct(), drops)
 
     def placed(name: str) -> DataFrame:
-        rows = relations[name].join(numbers, key).drop(*key)
+        rows = relations[name].join(numbers, _KEY).drop(*_KEY)
         return rows.withColumn("segment_id", F.lit(into).cast("bigint")).withColumnRenamed("new_doc_num", "doc_num").select(*relations[name].columns)
 
     postings, terms, values = placed("postings"), placed("docvalues"), placed("numcol")
@@ -77,12 +83,16 @@ def merge_relations(relations: dict[str, DataFrame], drops: DataFrame, into: int
     kinds = relations["fields"].groupBy("field").agg(F.min("field_id").alias("field_id"), F.when(F.bool_and(F.col("dv_kind") == "numeric"), "numeric").otherwise(F.max("dv_kind")).alias("dv_kind"))
     segment = F.lit(into).cast("bigint").alias("segment_id")
     bounds = source_bounds(relations["segment_meta"])
-    meta = live.agg(F.count("*").alias("num_docs")).join(F.broadcast(bounds), F.lit(True))  # one row each
+    meta = numbers.agg(F.count("*").alias("num_docs")).join(F.broadcast(bounds), F.lit(True))  # one row each
+    terms_of = postings.groupBy("field", "term").agg(F.count("*").alias("doc_freq"), F.sum("freq").alias("total_freq")).select(segment, "field", "term", "doc_freq", "total_freq")
     merged = {
         "segment_meta": meta.select(segment, "num_docs", "time_min", "time_max"),
         "fields": stats.join(F.broadcast(kinds), "field").select(segment, "field_id", "field", "docs", "tokens", "dv_kind"),
-        "dictionary": postings.groupBy("field", "term").agg(F.count("*").alias("doc_freq"), F.sum("freq").alias("total_freq")).select(segment, "field", "term", "doc_freq", "total_freq"),
+        "dictionary": terms_of,
         "postings": postings,
+        "block_bounds": block_bounds(postings, terms_of, meta.select(segment, "num_docs")),
+        "lengths": placed("lengths"),
+        "vectors": placed("vectors"),
         "stored": placed("stored"),
         "docvalues": terms.unionByName(coded),
         "numcol": values.join(F.broadcast(mixed), "field", "left_anti").select(*values.columns),

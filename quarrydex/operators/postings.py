@@ -13,28 +13,32 @@ BITMAP_DOCS = 32768
 
 
 def excluding(postings: DataFrame, drops: DataFrame) -> DataFrame:
-    """Postings of documents that aren't dropped."""
-    return postings.join(drops.select("doc_id"), "doc_id", "left_anti")
+    """Postings of documents that aren't dropped, by (segment_id, doc_num)."""
+    return postings.join(drops.select("segment_id", "doc_num"), ["segment_id", "doc_num"], "left_anti")
 
 
 def restricted(postings: DataFrame, docs: DataFrame) -> DataFrame:
     """Postings of the given documents."""
-    return postings.join(docs.select("doc_id"), "doc_id", "left_semi")
+    return postings.join(docs.select("segment_id", "doc_num"), ["segment_id", "doc_num"], "left_semi")
 
 
 def advance(postings: DataFrame, targets: DataFrame, span: int = 4096) -> DataFrame:
     """(segment_id, target, doc_num): the first posting at or after each target, or null.
 
-    A forward as-of lookup: within the target's range of documents by an equi-join on
-    the range, else the first document of the next range that has any; ranges are few
-    against postings.
+    A forward as-of lookup by ranges of ``span`` documents: an equi-join on the range
+    finds the postings of the target's own range, a second one the first posting of the
+    next range that has any. That is found for each range of postings or targets by a
+    window over a segment's ranges, of which there are a ``span``-th of its documents.
     """
-    rows = postings.select("segment_id", "doc_num", F.floor(F.col("doc_num") / span).alias("range"))
+    at = [F.col("segment_id"), F.floor(F.col("doc_num") / span).alias("range")]
+    rows = postings.select(*at, "doc_num")
     asked = targets.select("segment_id", "target", F.floor(F.col("target") / span).alias("range"))
+    ranges = rows.groupBy("segment_id", "range").agg(F.min("doc_num").alias("first"))
+    ranges = ranges.unionByName(asked.select("segment_id", "range", F.lit(None).cast("bigint").alias("first"))).groupBy("segment_id", "range").agg(F.min("first").alias("first"))
+    later = Window.partitionBy("segment_id").orderBy("range").rowsBetween(1, Window.unboundedFollowing)
+    following = ranges.select("segment_id", "range", F.min("first").over(later).alias("after"))
     here = asked.join(rows, ["segment_id", "range"]).where("doc_num >= target").groupBy("segment_id", "target").agg(F.min("doc_num").alias("here"))
-    firsts = rows.groupBy("segment_id", F.col("range").alias("later")).agg(F.min("doc_num").alias("first"))
-    after = asked.join(firsts, "segment_id").where("later > range").groupBy("segment_id", "target").agg(F.min("first").alias("after"))
-    out = asked.join(here, ["segment_id", "target"], "left").join(after, ["segment_id", "target"], "left")
+    out = asked.join(here, ["segment_id", "target"], "left").join(following, ["segment_id", "range"], "left")
     return out.select("segment_id", "target", F.coalesce("here", "after").alias("doc_num"))
 
 
@@ -44,33 +48,48 @@ def batches(postings: DataFrame, size: int = BATCH) -> DataFrame:
     return rows.groupBy("segment_id", F.floor(F.col("at") / size).alias("batch")).agg(F.count("*").alias("n"), F.min("doc_num").alias("first_doc"), F.max("doc_num").alias("last_doc"))
 
 
-def _chunked(postings: DataFrame, segment_docs: DataFrame) -> DataFrame:
+def _chunked(postings: DataFrame, terms: DataFrame, segment_docs: DataFrame) -> DataFrame:
     """Postings with the size and number of their block.
 
-    The window that counts a term's postings covers one term of one segment, so at most
-    the documents of a segment, and its shuffle serves all that follows by block.
+    The frequencies come from the dictionary (a written one, so that the join can be
+    split where a term has many postings); no task holds a term.
     """
-    card = F.count("*").over(Window.partitionBy("segment_id", "term"))
-    rows = postings.withColumn("_card", card).join(F.broadcast(segment_docs), "segment_id")
-    rows = rows.withColumn("_size", fn.chunk_size(F.col("num_docs"), F.col("_card")))
-    return rows.withColumn("chunk", F.call_function("div", F.col("doc_num"), F.col("_size")))
+    sizes = terms.join(F.broadcast(segment_docs.select("segment_id", "num_docs")), "segment_id")  # a row per segment
+    sizes = sizes.select("segment_id", "field", "term", fn.chunk_size(F.col("num_docs"), F.col("doc_freq")).alias("_size"))
+    return postings.join(sizes, ["segment_id", "field", "term"]).withColumn("chunk", F.call_function("div", F.col("doc_num"), F.col("_size")))
 
 
-def block_bounds(postings: DataFrame, segment_docs: DataFrame) -> DataFrame:
-    """(segment_id, term, chunk, max_freq, min_norm, end_doc, n) of the blocks of each term's postings.
+def block_bounds(postings: DataFrame, terms: DataFrame, segment_docs: DataFrame) -> DataFrame:
+    """(segment_id, field, term, chunk, max_freq, min_norm, end_doc, n) of the blocks of each term's postings.
 
-    A block has num_docs div (doc_freq div 1024 + 1) documents. segment_docs: (segment_id, num_docs), a row per segment.
+    A block has num_docs div (doc_freq div 1024 + 1) documents. terms: the dictionary;
+    segment_docs: (segment_id, num_docs), a row per segment.
     """
-    rows = _chunked(postings.select("segment_id", "term", "doc_num", "freq", "norm"), segment_docs)
-    out = rows.groupBy("segment_id", "term", "chunk", "_size").agg(F.max("freq").alias("max_freq"), F.min("norm").alias("min_norm"), F.count("*").alias("n"))
-    return out.select("segment_id", "term", "chunk", "max_freq", "min_norm", ((F.col("chunk") + 1) * F.col("_size")).alias("end_doc"), "n")
+    rows = _chunked(postings.select("segment_id", "field", "term", "doc_num", "freq", "norm"), terms, segment_docs)
+    out = rows.groupBy("segment_id", "field", "term", "chunk", "_size").agg(F.max("freq").alias("max_freq"), F.min("norm").alias("min_norm"), F.count("*").alias("n"))
+    return out.select("segment_id", "field", "term", "chunk", "max_freq", "min_norm", ((F.col("chunk") + 1) * F.col("_size")).alias("end_doc"), "n")
 
 
-def skip_blocks(postings: DataFrame, segment_docs: DataFrame, competitive: Column) -> DataFrame:
-    """Postings in blocks whose bounds (max_freq, min_norm) pass."""
-    block = Window.partitionBy("segment_id", "term", "chunk")
-    rows = _chunked(postings, segment_docs).withColumns({"max_freq": F.max("freq").over(block), "min_norm": F.min("norm").over(block)})
-    return rows.where(competitive).select(*postings.columns)
+#: Ranges of documents up to which they are a filter of the scan.
+MAX_RANGES = 200
+
+
+def skip_blocks(postings: DataFrame, bounds: DataFrame, terms: DataFrame, segment_docs: DataFrame, competitive: Column) -> DataFrame:
+    """Postings in blocks whose bounds (max_freq, min_norm) pass.
+
+    Ranges of documents of the passing blocks, if few, go to the scan as a filter: files
+    and pages of other blocks aren't read. The join with the blocks decides in any case.
+    """
+    passing = bounds.where(competitive)
+    size = F.call_function("div", F.col("end_doc"), F.col("chunk") + 1)
+    ranges = passing.select("segment_id", (F.col("end_doc") - size).alias("lo"), "end_doc").distinct().limit(MAX_RANGES + 1).collect()
+    if len(ranges) <= MAX_RANGES:
+        within = F.lit(False)
+        for segment, lo, hi in ranges:
+            within = within | ((F.col("segment_id") == segment) & (F.col("doc_num") >= lo) & (F.col("doc_num") < hi))
+        postings = postings.where(within)
+    rows = _chunked(postings, terms, segment_docs)
+    return rows.join(passing.select("segment_id", "field", "term", "chunk"), ["segment_id", "field", "term", "chunk"], "left_semi").select(*postings.columns)
 
 
 def union_bitmap(docs: DataFrame, span: int = BITMAP_DOCS) -> DataFrame:
@@ -88,13 +107,13 @@ def intersection_bitmap(left: DataFrame, right: DataFrame, span: int = BITMAP_DO
 
 
 def one_hit(postings: DataFrame) -> DataFrame:
-    """(segment_id, field, term, doc_num) of terms with one posting of frequency one."""
-    out = postings.groupBy("segment_id", "field", "term").agg(F.count("*").alias("n"), F.sum("freq").alias("f"), F.min("doc_num").alias("doc_num"))
-    return out.where("n = 1 and f = 1").select("segment_id", "field", "term", "doc_num")
+    """(segment_id, field, term, doc_num) of terms with one posting, of frequency one and without locations."""
+    out = postings.groupBy("segment_id", "field", "term").agg(F.count("*").alias("n"), F.sum("freq").alias("f"), F.max(F.size("locs")).alias("l"), F.min("doc_num").alias("doc_num"))
+    return out.where("n = 1 and f = 1 and l <= 0").select("segment_id", "field", "term", "doc_num")
 
 
 def ordinals(values: DataFrame) -> DataFrame:
-    """(segment_id, doc_num, ord): the rank of each value among its segment's distinct terms, which are ranked apart from the rows."""
+    """(segment_id, doc_num, ord): the rank of each value among its segment's distinct terms, which are ranked apart from the rows and by ranges."""
     distinct = values.select("segment_id", "term").distinct()
-    ranked = distinct.select("segment_id", "term", (F.row_number().over(Window.partitionBy("segment_id").orderBy("term")) - 1).cast("bigint").alias("ord"))
-    return values.join(ranked, ["segment_id", "term"]).select("segment_id", "doc_num", "ord")
+    ranked = dense_numbers(distinct, ["segment_id"], "term", "ord")
+    return values.select("segment_id", "doc_num", "term").join(ranked, ["segment_id", "term"]).select("segment_id", "doc_num", "ord")

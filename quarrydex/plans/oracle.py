@@ -56,13 +56,13 @@ ORACLE_SQL = {
     "dict_range": f"WITH {_P} " + _DICT.format("term >= 'th' AND term < 'ti'"),
     "dict_prefix": f"WITH {_P} " + _DICT.format("starts_with(term, 'tion')"),
     "dict_regex": f"WITH {_P} " + _DICT.format("regexp_full_match(term, 'the(re|an)[a-z]*')"),
-    "dict_fuzzy": f"WITH {_P} " + _DICT.format("regexp_full_match(term, '[ -~]*') AND levenshtein(term, 'there') <= 2"),
+    "dict_fuzzy": f"WITH {_P} " + _DICT.format("levenshtein(regexp_replace(term, '[^ther]', '?', 'g'), 'there') <= 2"),
     "dict_contains": f"WITH {_T}, a(probe) AS (VALUES {', '.join(f"('{p}')" for p in PROBES)}) SELECT probe, EXISTS (SELECT 1 FROM t WHERE term = probe) AS found FROM a",
     "docs_matching_terms": f"WITH {_T}, k AS (SELECT segment_id, doc_num, 'body' AS field, term FROM t UNION ALL {_KEYWORDS}) SELECT DISTINCT segment_id, doc_num FROM k WHERE (field, term) IN ({_PAIRS})",
     "or_postings_range": f"WITH {_T} SELECT DISTINCT segment_id, doc_num FROM t WHERE term >= 'th' AND term < 'ti'",
     "or_postings_bitmap": f"WITH {_T} SELECT segment_id, doc_num // 32768 AS bucket, count(DISTINCT doc_num) AS docs FROM t WHERE term >= 'th' AND term < 'ti' GROUP BY ALL",
     "terms_kway_merge": f"WITH {_T}, k AS (SELECT DISTINCT term, segment_id FROM t) SELECT term, string_agg(segment_id::VARCHAR, ',' ORDER BY segment_id) AS segments FROM k GROUP BY term",
-    "field_list": "SELECT * FROM (VALUES (0, '_id', 'none'), (1, 'body', 'none'), (2, 'lang', 'terms'), (3, 'n_chars', 'numeric'), (4, 'source', 'terms')) v(field_id, field, dv_kind)",
+    "field_list": f"WITH {_D}, {_S} SELECT DISTINCT field_id, field, CASE field WHEN 'body' THEN 'none' WHEN 'n_chars' THEN 'numeric' ELSE 'terms' END AS dv_kind FROM s",
     "segment_footer": f"WITH {_E} {_BOUNDS}",
     "segment_count": f"WITH {_D} SELECT segment_id, count(*) AS num_docs FROM d GROUP BY segment_id",
     "stored_fields": f"WITH {_D}, {_S} SELECT segment_id, doc_num, field_id, field, ord, value FROM s",
@@ -92,7 +92,7 @@ ORACLE_SQL = {
     "merge_docnums": f"WITH {_R} SELECT segment_id, doc_num, new_doc_num FROM r",
     "merge_postings": f"WITH {_R} SELECT new_doc_num, freq, norm FROM p JOIN r USING (doc_id) WHERE term = '{TERM}'",
     "merge_stats": f"WITH {_F}, {_X} SELECT field, count(*) AS docs, sum(length)::BIGINT AS tokens FROM f WHERE doc_id NOT IN (FROM x) GROUP BY field",
-    "merge_fields": f"WITH {_D}, {_S} SELECT DISTINCT field FROM s",
+    "merge_fields": f"WITH {_R}, {_S} SELECT DISTINCT field FROM s JOIN r USING (doc_id)",
     "merge_docvalues": f"WITH {_R} SELECT new_doc_num, n_chars AS value FROM d JOIN r USING (doc_id) WHERE n_chars IS NOT NULL",
     "merge_mixed_docvalues": f"WITH {_E} SELECT segment_id, doc_num, {_hex('value')} AS term FROM e WHERE value IS NOT NULL",
     "merge_stored": f"WITH {_R}, {_S} SELECT new_doc_num, field_id, field, ord, value FROM s JOIN r USING (doc_id)",

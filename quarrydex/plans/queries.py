@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +15,7 @@ from quarrydex import model
 from quarrydex.operators import columns, dictionary, merge, postings, vectors
 from quarrydex.operators.index import DocumentIndex, split_terms
 from quarrydex.operators.numbering import dense_numbers
-from quarrydex.sources import table
+from quarrydex.sources import shared_dir, table
 
 TERM, OTHER = "the", "and"
 QUERY_VECTOR = [((i * 37) % 23 - 11) / 10 for i in range(64)]
@@ -30,20 +33,37 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def _index(spark: SparkSession, d: str) -> DocumentIndex:
-    return DocumentIndex(table(spark, d, "documents"))
+_built: dict[tuple[str, str], tuple[tuple[str, ...], dict[str, DataFrame]]] = {}
+
+
+def relations(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The written index of the documents of a folder, built once in a session unless the table's files change."""
+    docs = table(spark, d, "documents")
+    key, files = (spark.sparkContext.applicationId, d), tuple(sorted(docs.inputFiles()))
+    if key not in _built or _built[key][0] != files:
+        path = f"{shared_dir(spark)}/quarrydex-index-{uuid.uuid4().hex}"
+        _built[key] = files, DocumentIndex(docs).write(path)
+    return _built[key][1]
 
 
 def _drops(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    """(segment_id, doc_num) of the toxic documents, found by their ids' postings."""
+    ids = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("term")).distinct()
+    return _of_field(spark, d, "_id").join(ids, "term", "left_semi").select("segment_id", "doc_num")
+
 
+def _of_field(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    rows = relations(spark, d)["postings"]
+    return rows.where(F.col("field") == fields[0]) if len(fields) == 1 else rows.where(F.col("field").isin(*fields))
 
-def _of_term(index: DocumentIndex, term: str = TERM) -> DataFrame:
-    return index.numbered(index.postings("body", F.col("term") == term))
 
+def _of_term(spark: SparkSession, d: str, term: str = TERM) -> DataFrame:
+    return _of_field(spark, d, "body").where(F.col("term") == term)
 
-def _sized(index: DocumentIndex) -> DataFrame:
-    return index.docs.groupBy("segment_id").agg(F.count("*").alias("num_docs"))
+
+def _numbers(spark: SparkSession, d: str) -> DataFrame:
+    """(segment_id, doc_num) of all documents; each has an id."""
+    return relations(spark, d)["lengths"].where("field = '_id'").select("segment_id", "doc_num")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -51,80 +71,79 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+_numbered: dict[tuple[str, str], DataFrame] = {}
+
+
 def _event_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = _events(spark, d).select("doc_id", "segment_id", F.col("user_id").cast("bigint").alias("value"))
-    return dense_numbers(rows, ["segment_id"], "doc_id", "doc_num").where("value is not null")
+    """(doc_id, segment_id, value, doc_num) of the events; numbered once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _numbered:
+        rows = _events(spark, d).select("doc_id", "segment_id", F.col("user_id").cast("bigint").alias("value"))
+        _numbered[key] = dense_numbers(rows, ["segment_id"], "doc_id", "doc_num")
+    return _numbered[key].where("value is not null")
 
 
 @query
 def term_postings(spark, d):
-    return _of_term(_index(spark, d)).select("segment_id", "doc_num", "freq", "norm")
+    return _of_term(spark, d).select("segment_id", "doc_num", "freq", "norm")
 
 
 @query
 def term_locations(spark, d):
-    index = _index(spark, d)
-    return index.numbered(index.term_locations(TERM)).select("segment_id", "doc_num", F.col("pos").cast("bigint").alias("pos"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"))
+    rows = _of_term(spark, d).select("segment_id", "doc_num", F.explode("locs").alias("at"))
+    return rows.select("segment_id", "doc_num", F.col("at.pos").cast("bigint").alias("pos"), F.col("at.start").alias("start_byte"), F.col("at.end").alias("end_byte"))
 
 
 @query
 def postings_no_freq(spark, d):
-    index = _index(spark, d)
-    docs = index.terms("body").where(F.col("term") == TERM).select("doc_id").distinct()
-    return index.numbered(docs).join(index.docs.select("doc_id", "segment_id"), "doc_id").select("segment_id", "doc_num", F.lit(0).cast("bigint").alias("freq"), F.lit(0.0).alias("norm"))
+    return _of_term(spark, d).select("segment_id", "doc_num", F.lit(0).cast("bigint").alias("freq"), F.lit(0.0).alias("norm"))
 
 
 @query
 def postings_count_live(spark, d):
-    index = _index(spark, d)
-    rows = index.postings("body", F.col("term") == TERM)
     dropped = _drops(spark, d).withColumn("dropped", F.lit(1))
-    return rows.join(dropped, "doc_id", "left").groupBy("segment_id").agg(F.count("*").alias("docs"), F.count_if(F.col("dropped").isNull()).alias("live"))
+    rows = _of_term(spark, d).select("segment_id", "doc_num").join(dropped, ["segment_id", "doc_num"], "left")
+    return rows.groupBy("segment_id").agg(F.count("*").alias("docs"), F.count_if(F.col("dropped").isNull()).alias("live"))
 
 
 @query
 def postings_except(spark, d):
-    return postings.excluding(_of_term(_index(spark, d)), _drops(spark, d)).select("segment_id", "doc_num", "freq", "norm")
+    return postings.excluding(_of_term(spark, d), _drops(spark, d)).select("segment_id", "doc_num", "freq", "norm")
 
 
 @query
 def postings_restrict(spark, d):
-    index = _index(spark, d)
-    return postings.restricted(_of_term(index), index.postings("body", F.col("term") == OTHER)).select("segment_id", "doc_num", "freq", "norm")
+    return postings.restricted(_of_term(spark, d), _of_term(spark, d, OTHER)).select("segment_id", "doc_num", "freq", "norm")
 
 
 @query
 def postings_advance(spark, d):
     targets = spark.createDataFrame([(s, t) for s in range(model.SEGMENTS) for t in TARGETS], "segment_id bigint, target bigint")
-    return postings.advance(_of_term(_index(spark, d)), targets)
+    return postings.advance(_of_term(spark, d), targets)
 
 
 @query
 def postings_batches(spark, d):
-    return postings.batches(_of_term(_index(spark, d)))
+    return postings.batches(_of_term(spark, d))
 
 
 @query
 def one_hit_terms(spark, d):
-    index, rows = _index(spark, d), None
-    for f in ("_id", "lang", "source"):
-        part = index.postings(f).withColumn("field", F.lit(f))
-        rows = part if rows is None else rows.unionByName(part)
-    return postings.one_hit(index.numbered(rows))
+    return postings.one_hit(_of_field(spark, d, "_id", "lang", "source"))
 
 
 @query
 def dict_full(spark, d):
-    return dictionary.dictionary(_index(spark, d).postings("body"))
+    return _dict(spark, d)
 
 
 @query
 def dict_terms_only(spark, d):
-    return _index(spark, d).terms("body").select("term").distinct()
+    return relations(spark, d)["dictionary"].where("field = 'body'").select("term").distinct()
 
 
-def _dict(spark, d, where):
-    return dictionary.dictionary(_index(spark, d).postings("body", where))
+def _dict(spark, d, where=None):
+    return dictionary.scan(relations(spark, d)["dictionary"], "body", where)
 
 
 @query
@@ -149,7 +168,7 @@ def dict_fuzzy(spark, d):
 
 @query
 def dict_contains(spark, d):
-    return dictionary.contains(_index(spark, d).terms("body"), PROBES)
+    return dictionary.contains(relations(spark, d)["dictionary"].where("field = 'body'"), PROBES)
 
 
 PAIRS = [("body", "the"), ("lang", "fr"), ("source", "src3"), ("nosuchfield", "x")]
@@ -157,37 +176,35 @@ PAIRS = [("body", "the"), ("lang", "fr"), ("source", "src3"), ("nosuchfield", "x
 
 @query
 def docs_matching_terms(spark, d):
-    index, rows = _index(spark, d), None
-    for f in ("body", "lang", "source"):
-        wanted = [t for field, t in PAIRS if field == f]
-        part = index.terms(f).where(F.col("term").isin(wanted)).select("doc_id", "segment_id")
-        rows = part if rows is None else rows.unionByName(part)
-    return index.numbered(rows.distinct()).select("segment_id", "doc_num")
+    wanted = [(F.col("field") == f) & (F.col("term") == t) for f, t in PAIRS]
+    return relations(spark, d)["postings"].where(functools.reduce(operator.or_, wanted)).select("segment_id", "doc_num").distinct()
 
 
-def _docs_in_range(index):
-    return index.numbered(index.terms("body").where(dictionary.in_range("th", "ti")).select("doc_id", "segment_id").distinct())
+def _docs_in_range(spark, d):
+    return _of_field(spark, d, "body").where(dictionary.in_range("th", "ti")).select("segment_id", "doc_num").distinct()
 
 
 @query
 def or_postings_range(spark, d):
-    return _docs_in_range(_index(spark, d)).select("segment_id", "doc_num")
+    return _docs_in_range(spark, d)
 
 
 @query
 def or_postings_bitmap(spark, d):
-    return postings.union_bitmap(_docs_in_range(_index(spark, d)))
+    return postings.union_bitmap(_docs_in_range(spark, d))
 
 
 @query
 def terms_kway_merge(spark, d):
-    return dictionary.merged_terms(_index(spark, d).terms("body"))
+    return dictionary.merged_terms(relations(spark, d)["dictionary"].where("field = 'body'"))
 
 
 @query
 def field_list(spark, d):
-    kinds = {"n_chars": "numeric", "lang": "terms", "source": "terms"}
-    return spark.createDataFrame([(i, f, kinds.get(f, "none")) for i, f in enumerate(model.FIELDS)], "field_id int, field string, dv_kind string")
+    found = relations(spark, d)
+    names = found["stored"].select("field_id", "field").distinct()
+    kinds = found["numcol"].select("field", F.lit("numeric").alias("dv_kind")).unionByName(found["docvalues"].select("field", F.lit("terms").alias("dv_kind"))).distinct()
+    return names.join(F.broadcast(kinds), "field", "left").select("field_id", "field", F.coalesce("dv_kind", F.lit("none")).alias("dv_kind"))  # a row per field
 
 
 @query
@@ -197,31 +214,37 @@ def segment_footer(spark, d):
 
 @query
 def segment_count(spark, d):
-    return _sized(_index(spark, d))
+    return relations(spark, d)["segment_meta"].select("segment_id", "num_docs")
 
 
 @query
 def stored_fields(spark, d):
-    index = _index(spark, d)
-    return index.numbered(index.stored).select("segment_id", "doc_num", "field_id", "field", "ord", "value")
+    return relations(spark, d)["stored"].select("segment_id", "doc_num", "field_id", "field", "ord", "value")
+
+
+def _requested(spark, d, fields):
+    """The column values of the fields asked for, a row per field and place."""
+    found = relations(spark, d)
+    terms = found["docvalues"].select("segment_id", "doc_num", "field", "term", F.lit(None).cast("bigint").alias("number"))
+    numbers = found["numcol"].select("segment_id", "doc_num", "field", F.lit(None).cast("string").alias("term"), F.col("value").alias("number"))
+    asked = F.array(*[F.struct(F.lit(i).alias("req_pos"), F.lit(f).alias("name")) for i, f in enumerate(fields)])
+    rows = terms.unionByName(numbers).where(F.col("field").isin(*fields))
+    return rows.select("*", F.explode(F.filter(asked, lambda x: x["name"] == F.col("field"))["req_pos"]).alias("req_pos"))
 
 
 @query
 def docvalues_terms(spark, d):
-    index = _index(spark, d)
-    return index.numbered(index.docvalues(DV_REQUEST)).select("segment_id", "doc_num", "req_pos", "field", "term")
+    return _requested(spark, d, DV_REQUEST).select("segment_id", "doc_num", "req_pos", "field", "term")
 
 
 @query
 def docvalues_numbers(spark, d):
-    index = _index(spark, d)
-    return index.numbered(index.docvalues(["lang", "n_chars", "source"])).select("segment_id", "doc_num", "req_pos", "field", "term", "number")
+    return _requested(spark, d, ["lang", "n_chars", "source"]).select("segment_id", "doc_num", "req_pos", "field", "term", "number")
 
 
 @query
 def ordinal_column(spark, d):
-    index = _index(spark, d)
-    return postings.ordinals(index.numbered(index.docvalues(["source"])))
+    return postings.ordinals(relations(spark, d)["docvalues"].where("field = 'source'"))
 
 
 @query
@@ -248,7 +271,7 @@ def numeric_range_multi(spark, d):
 
 @query
 def numeric_range_gate(spark, d):
-    index = _index(spark, d)
+    index = DocumentIndex(table(spark, d, "documents"))
     column = index.docs.where("n_chars is not null").select("doc_id")
     out = columns.same_documents(column, index.terms("n_chars")).withColumn("field", F.lit("n_chars"))
     none = columns.same_documents(column.where("false"), index.terms("lang")).withColumn("field", F.lit("lang"))
@@ -260,18 +283,14 @@ def prefix_coded(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", fn.prefix_coded(F.col("user_id")).alias("code"), fn.prefix_coded(-F.col("user_id")).alias("negative_code"))
 
 
-def _stats(rows):
-    return rows.groupBy("field").agg(F.count("*").alias("docs"), F.sum("length").alias("tokens"))
-
-
 @query
 def collection_stats(spark, d):
-    return _stats(_index(spark, d).stats)
+    return relations(spark, d)["fields"].groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
 @query
 def collection_stats_merged(spark, d):
-    per_segment = postings.excluding(_index(spark, d).stats, _drops(spark, d)).groupBy("segment_id", "field").agg(F.count("*").alias("docs"), F.sum("length").alias("tokens"))
+    per_segment = postings.excluding(relations(spark, d)["lengths"], _drops(spark, d)).groupBy("segment_id", "field").agg(F.count("*").alias("docs"), F.sum("length").alias("tokens"))
     return per_segment.groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
@@ -298,30 +317,28 @@ def field_rollup(spark, d):
 
 @query
 def composite_field(spark, d):
-    index, rows = _index(spark, d), None
-    for f in ("body", "lang", "source"):
-        part = index.terms(f).select("doc_id", "segment_id", "term", F.lit(f).alias("field"))
-        rows = part if rows is None else rows.unionByName(part)
-    grouped = rows.groupBy("doc_id", "segment_id", "term").agg(F.count("*").alias("freq"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
+    fields = (*model.DOCUMENT_FIELDS, model.Field("_all", kind="composite", of=("body", "lang", "source")))
+    index = DocumentIndex(table(spark, d, "documents"), fields=fields)
+    grouped = index.terms("_all").groupBy("doc_id", "segment_id", "term").agg(F.count("*").alias("freq"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
     return index.numbered(grouped).select("segment_id", "doc_num", "term", "freq", "fields")
 
 
 @query
 def norms(spark, d):
-    index = _index(spark, d)
-    return index.numbered(index.stats).select("segment_id", "doc_num", "field", "length", fn.norm(F.col("length")).alias("norm"))
+    return relations(spark, d)["lengths"].select("segment_id", "doc_num", "field", "length", "norm")
 
 
 @query
 def block_bounds(spark, d):
-    index = _index(spark, d)
-    return postings.block_bounds(index.numbered(index.postings("body")), _sized(index))
+    return relations(spark, d)["block_bounds"].where("field = 'body'").drop("field")
 
 
 @query
 def skip_blocks(spark, d):
-    index = _index(spark, d)
-    return postings.skip_blocks(_of_term(index), _sized(index), F.col("max_freq") >= 12).select("segment_id", "doc_num", "freq", "norm")
+    found = relations(spark, d)
+    bounds = found["block_bounds"].where((F.col("field") == "body") & (F.col("term") == TERM))
+    terms = found["dictionary"].where((F.col("field") == "body") & (F.col("term") == TERM))
+    return postings.skip_blocks(_of_term(spark, d), bounds, terms, found["segment_meta"], F.col("max_freq") >= 12).select("segment_id", "doc_num", "freq", "norm")
 
 
 def _vectors(spark, d):
@@ -358,40 +375,36 @@ def vector_multi(spark, d):
     return _found(vectors.search(rows, QUERY_VECTOR, TOP, "dot"))
 
 
-def _renumbered(spark, d, index):
-    return merge.renumbered(index.numbers, _drops(spark, d))
+def _renumbered(spark, d):
+    return merge.renumbered(_numbers(spark, d), _drops(spark, d))
 
 
 @query
 def merge_docnums(spark, d):
-    return _renumbered(spark, d, _index(spark, d)).select("segment_id", "doc_num", "new_doc_num")
+    return _renumbered(spark, d).select("segment_id", "doc_num", "new_doc_num")
 
 
 @query
 def merge_postings(spark, d):
-    index = _index(spark, d)
-    return merge.moved(index.postings("body", F.col("term") == TERM), _renumbered(spark, d, index)).select("new_doc_num", "freq", "norm")
+    return merge.moved(_of_term(spark, d), _renumbered(spark, d)).select("new_doc_num", "freq", "norm")
 
 
 @query
 def merge_stats(spark, d):
-    index, out = _index(spark, d), None
-    for f in ("_id", "body", "lang", "source"):
-        kept = postings.excluding(index.postings(f), _drops(spark, d))
-        part = kept.groupBy("doc_id").agg(F.sum("freq").alias("freq")).agg(F.count("*").alias("docs"), F.coalesce(F.sum("freq"), F.lit(0)).alias("tokens")).withColumn("field", F.lit(f))
-        out = part if out is None else out.unionByName(part)
-    return out.select("field", "docs", "tokens")
+    kept = postings.excluding(relations(spark, d)["postings"].select("segment_id", "doc_num", "field", "freq"), _drops(spark, d))
+    per_doc = kept.groupBy("segment_id", "doc_num", "field").agg(F.sum("freq").alias("freq"))
+    return per_doc.groupBy("field").agg(F.count("*").alias("docs"), F.sum("freq").alias("tokens"))
 
 
 @query
 def merge_fields(spark, d):
-    return _index(spark, d).stored.select("field").distinct()
+    return merge.moved(relations(spark, d)["stored"].select("segment_id", "doc_num", "field"), _renumbered(spark, d)).select("field").distinct()
 
 
 @query
 def merge_docvalues(spark, d):
-    index = _index(spark, d)
-    return merge.moved(index.docvalues(["n_chars"]), _renumbered(spark, d, index)).select("new_doc_num", F.col("number").alias("value"))
+    values = relations(spark, d)["numcol"].where("field = 'n_chars'")
+    return merge.moved(values, _renumbered(spark, d)).select("new_doc_num", "value")
 
 
 @query
@@ -402,8 +415,7 @@ def merge_mixed_docvalues(spark, d):
 
 @query
 def merge_stored(spark, d):
-    index = _index(spark, d)
-    return merge.moved(index.stored, _renumbered(spark, d, index)).select("new_doc_num", "field_id", "field", "ord", "value")
+    return merge.moved(relations(spark, d)["stored"], _renumbered(spark, d)).select("new_doc_num", "field_id", "field", "ord", "value")
 
 
 @query

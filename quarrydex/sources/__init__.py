@@ -1,7 +1,10 @@
-"""Reading tables and reading and writing relations."""
+"""Reading tables, and writing and reading relations."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrydex import model
@@ -11,12 +14,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. A temporary one stands in on a local master alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = spark.conf.get("quarrydex.scratch.dir", None)
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='quarrydex')}"
+        spark.conf.set("quarrydex.scratch.dir", found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a written table in the shared folder, whose lineage is its files."""
+    path = f"{shared_dir(df.sparkSession)}/quarrydex-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def arranged(df: DataFrame, name: str) -> DataFrame:
+    """A relation in ranges of its sort order: few files for a segment, and none holds all of a frequent term."""
+    by = ["segment_id", *model.SORTED[name]]
+    return df.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def write_relation(df: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
+    """One relation below the path, partitioned by segment, so that a reader of some segments lists only theirs. "overwrite" replaces the segments that df has."""
+    out = arranged(df, name).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("segment_id").parquet(f"{path}/{name}")
+
+
 def persist(relations: dict[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
-    """Writes each relation below the path, partitioned by segment, so that a reader of some segments lists only theirs."""
+    """Writes each relation below the path, sorted for term and document scans."""
     for name, df in relations.items():
-        df.write.mode(mode).partitionBy("segment_id").parquet(f"{path}/{name}")
+        write_relation(df, path, name, mode)
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The relations below a path, with their declared schemas."""
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in model.SCHEMAS.items()}
+    """The relations below a path, with their declared schemas; those that were not written are empty."""
+    found = {}
+    for name, schema in model.SCHEMAS.items():
+        at = f"{path}/{name}"
+        found[name] = spark.read.schema(schema).parquet(at) if _exists(spark, at) else spark.createDataFrame([], schema)
+    return found
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

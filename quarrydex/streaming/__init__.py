@@ -10,25 +10,25 @@ from quarrydex import sources
 from quarrydex.operators.index import DocumentIndex
 
 
-def segment_writer(path: str) -> Callable[[DataFrame, int], None]:
+def segment_writer(path: str, **options) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that writes each batch of documents as the segment of its batch id.
 
-    A batch that is played again overwrites its own segment, so ingest is exactly once.
+    ``options`` are those of DocumentIndex. A batch that is played again overwrites its own segment, so ingest is exactly once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.sql import functions as F
-
-        relations = DocumentIndex(batch, segments=1).relations()
-        for name, df in relations.items():
-            df.withColumn("segment_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment_id").parquet(f"{path}/{name}")
+        batch = batch.persist()  # read by several jobs; a lost block is read from the source again
+        try:
+            DocumentIndex(batch, segment=batch_id, **options).write(path, "overwrite")
+        finally:
+            batch.unpersist()
 
     return write
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, **trigger):
-    """Starts the ingest of a stream of documents; the running query."""
-    return stream.writeStream.foreachBatch(segment_writer(path)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def ingest(stream: DataFrame, path: str, checkpoint: str, index: dict | None = None, **trigger):
+    """Starts the ingest of a stream of documents; the running query. ``index``: options of DocumentIndex."""
+    return stream.writeStream.foreachBatch(segment_writer(path, **(index or {}))).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 __all__ = ["ingest", "segment_writer", "sources"]
