@@ -253,24 +253,30 @@ class DocumentIndex:
             return self.docs.sparkSession.createDataFrame([], model.SCHEMAS["postings"])
         return _typed("postings", self.numbered(out))
 
-    def relations(self, found: DataFrame | None = None, terms: DataFrame | None = None) -> dict[str, DataFrame]:
-        """Everything that persists, in the declared schemas; from written postings and dictionary if given."""
+    @cached_property
+    def all_lengths(self) -> DataFrame:
+        """The lengths relation, in no order."""
+        out = None
+        for name, field in self.fields.items():
+            if field.indexed:
+                part = self.lengths(name).withColumn("norm", self.normed(name, F.col("length")))
+                out = part if out is None else out.unionByName(part)
+        return _typed("lengths", self.numbered(out)) if out is not None else self.docs.sparkSession.createDataFrame([], model.SCHEMAS["lengths"])
+
+    def relations(self, found: DataFrame | None = None, terms: DataFrame | None = None, lengths: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Everything that persists, in the declared schemas; from written postings, dictionary and lengths if given."""
         found = self.all_postings if found is None else found
         terms = dictionary_of(found) if terms is None else terms
+        lengths = self.all_lengths if lengths is None else lengths
         names = list(self.fields)
         kind = F.create_map(*[F.lit(x) for n, f in self.fields.items() if f.docvalues for x in (n, "numeric" if f.kind == "numeric" else "terms")], F.lit(""), F.lit(""))
         values = self.numbered(self.docvalues([n for n in names if self.fields[n].docvalues]))
         times = F.lit(0) if self.time_column is None else F.col(self.time_column)
         meta = columns.time_bounds(self.docs.select("segment_id", times.cast("bigint").alias("ts")))
-        lengths = None
-        for name in dict.fromkeys([n for n in names if self.fields[n].indexed]):
-            part = self.lengths(name).withColumn("norm", self.normed(name, F.col("length")))
-            lengths = part if lengths is None else lengths.unionByName(part)
-        lengths = self.numbered(lengths if lengths is not None else self.stats.withColumn("norm", F.lit(0.0)))
         ids = F.array_position(F.array(*map(F.lit, names)), F.col("field")) - 1
         out = {
             "segment_meta": meta,
-            "fields": self.stats.groupBy("segment_id", "field").agg(F.count("*").alias("docs"), F.sum("length").alias("tokens")).withColumn("field_id", ids).withColumn("dv_kind", kind[F.col("field")]),
+            "fields": lengths.groupBy("segment_id", "field").agg(F.count("*").alias("docs"), F.sum("length").alias("tokens")).withColumn("field_id", ids).withColumn("dv_kind", kind[F.col("field")]),
             "dictionary": terms,
             "postings": found,
             "block_bounds": postings.block_bounds(found, terms, meta),
@@ -285,17 +291,17 @@ class DocumentIndex:
     def write(self, path: str, mode: str = "errorifexists") -> dict[str, DataFrame]:
         """Persists the index below the path and loads it.
 
-        Texts are tokenised once: postings are written as they come, then sorted, and
-        what follows from them is read from there.
+        Texts are tokenised once for postings and once for lengths: both are written as
+        they come, then sorted, and what follows from them is read from there.
         """
         spark = self.docs.sparkSession
         raw = sources.written(self.all_postings, "postings")
-        sources.write_relation(raw, path, "postings", mode)
         terms = sources.written(dictionary_of(raw), "dictionary")
-        for name, df in self.relations(raw, terms).items():
-            if name != "postings":
+        lengths = sources.written(self.all_lengths, "lengths")
+        for name, df in self.relations(raw, terms, lengths).items():
+            if name != "vectors" or any(f.kind == "vector" for f in self.fields.values()):
                 sources.write_relation(df, path, name, mode)
-        sources.remove(raw, terms)
+        sources.remove(raw, terms, lengths)
         return sources.load(spark, path)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import operator
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from quarrydex import model
 from quarrydex.operators import columns, dictionary, merge, postings, vectors
 from quarrydex.operators.index import DocumentIndex, split_terms
 from quarrydex.operators.numbering import dense_numbers
-from quarrydex.sources import shared_dir, table
+from quarrydex.sources import table, temporary
 
 TERM, OTHER = "the", "and"
 QUERY_VECTOR = [((i * 37) % 23 - 11) / 10 for i in range(64)]
@@ -41,8 +40,7 @@ def relations(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     docs = table(spark, d, "documents")
     key, files = (spark.sparkContext.applicationId, d), tuple(sorted(docs.inputFiles()))
     if key not in _built or _built[key][0] != files:
-        path = f"{shared_dir(spark)}/quarrydex-index-{uuid.uuid4().hex}"
-        _built[key] = files, DocumentIndex(docs).write(path)
+        _built[key] = files, DocumentIndex(docs).write(f"{temporary(spark, 'index')}/documents")
     return _built[key][1]
 
 

@@ -16,9 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. A temporary one stands in on a local master alone."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = spark.conf.get("quarrydex.scratch.dir", None)
     if not found:
@@ -27,10 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop's objects."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends: results that are read from it hold until then."""
+    path = f"{shared_dir(spark)}/quarrydex-{name}-{uuid.uuid4().hex}"
+    at, system = _at(spark, path)
+    system.mkdirs(at)
+    system.deleteOnExit(at)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, system = _at(spark, path)
+    system.delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table in the shared folder, whose lineage is its files."""
-    path = f"{shared_dir(df.sparkSession)}/quarrydex-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = temporary(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,14 +83,12 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    at, system = _at(spark, path)
+    return system.exists(at)
 
 
 def remove(*tables: DataFrame) -> None:
     """Deletes written() tables that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            delete(df.sparkSession, path)
