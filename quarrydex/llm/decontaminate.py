@@ -13,9 +13,18 @@ reaches a short item's end. A word pair that no item has ends every match, so on
 runs of known pairs are streamed; they are found by array operations over hashes,
 and the automaton then compares the words themselves.
 
-The automaton travels to the tasks in blocks of items of at most ``block_bytes`` of
-text, a bound checked before anything is collected: one block for a usual benchmark,
-else one pass over the documents for each block, whose hits are merged.
+A benchmark of at most ``block_bytes`` of text, a bound checked before anything is
+collected, travels to the tasks as one automaton. A larger one is cut into blocks of that
+many bytes at most (a long item into pieces that share ``length - 1`` words, so that no
+window is lost), and the documents are read once, whatever the number of blocks:
+
+1. hashes of all windows are written with their blocks; a bit for each hash, in a map of
+   2 ** FILTER_BITS bits, travels to the tasks, which list the hashes of each document's
+   word sequences that it lets pass;
+2. a join with the window hashes names the blocks that each document may match;
+3. candidate documents are dealt to (block, share), with the block's pieces before them;
+   a block that many documents match has a share for each SHARE_DOCS of them. A task
+   builds the automaton of a block from its pieces, then streams the documents through.
 
 Nulls and oddities: a null text has no words. A document without words is clean. A
 null item_id hits words but is not counted among the items; rows that repeat an
@@ -40,6 +49,10 @@ LENGTH = 13
 COVERAGE = (1, 20)
 #: An automaton takes about 250 bytes for each byte of its items, once on the driver and in each worker.
 BLOCK_BYTES = 1_000_000
+#: Bits of a position in the map of window hashes: 8 MB. More windows than that let more documents pass, no fewer.
+FILTER_BITS = 26
+#: Candidate documents of a block that make a further share of it.
+SHARE_DOCS = 20_000
 
 
 class SuffixAutomaton:
@@ -190,16 +203,11 @@ def _member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values if len(keys) else np.zeros(len(values), bool)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in blocks of about block_bytes of text, one at a time."""
+def _small(benchmark: DataFrame, block_bytes: int) -> list[tuple[str | None, str | None]] | None:
+    """The items, if their texts make one block."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    if n == 1:
-        yield [tuple(r) for r in items.collect()]
-        return
-    for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()]
+    return [tuple(r) for r in items.collect()] if total <= block_bytes else None
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, coverage: tuple[int, int] = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -209,45 +217,160 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, c
     the hit runs as (first word, words).
     """
     small_batches(docs.sparkSession)
-    blocks = _blocks(benchmark, block_bytes)
-    block, rest = next(blocks), next(blocks, None)
-    if rest is None:
+    items = _small(benchmark, block_bytes)
+    if items is not None:
         rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        return _judged(_scanned(rows, block, length, True), coverage)
+        return _judged(_scanned(rows, items, length), coverage)
     scratch = Scratch(docs.sparkSession, "decontaminate")
     rows, _ = keyed(scratch, docs)
-    parts, k = None, 0
-    while block is not None:
-        part = scratch.write(_scanned(rows.select(F.col("doc_key").alias("doc_id"), "text"), block, length, k == 0), f"block-{k}")
-        parts = part if parts is None else parts.unionByName(part)
-        k += 1
-        block, rest = rest, next(blocks, None)
-    merged = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    judged = _judged(merged, coverage).withColumnRenamed("doc_id", "doc_key")
-    return rows.select("doc_key", "doc_id").join(judged, "doc_key").drop("doc_key")
-
-
-def _scanned(rows: DataFrame, items: list, length: int, every: bool) -> DataFrame:
-    """(doc_id, n_words, spans, items) of documents; only of hit ones unless ``every``."""
+    hits = _routed(scratch, rows, benchmark, length, block_bytes)
+    merged = hits.groupBy("doc_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = merged.withColumnRenamed("doc_key", "hit_key")
+    none = {"spans": _SPANS, "items": "array<string>"}
+    words = scratch.spark.read.parquet(f"{scratch.root}/passed").select("doc_key", "doc_id", "n_words")
+    every = words.join(merged, F.col("doc_key") == F.col("hit_key"), "left").select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(k)).alias(c) for c, k in none.items()])
+    return _judged(every, coverage)
+
+
+_SPANS = "array<struct<start: long, words: long>>"
+
+
+def _cut_items(benchmark: DataFrame, length: int, block_bytes: int) -> DataFrame:
+    """(block, item_id, words: pieces of items, their normalised words joined by spaces) in blocks of at most block_bytes, filled one after the other in each part."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, room = -1, 0
+        for b in batches:
+            ids, part = b.column(0).to_pylist(), b.column(2)
+            block, item, text = [], [], []
+            for i, j, t in ft.slices(b.column(1)):
+                own, starts, ends, first = ft.joined(t, ft.ALNUM_WORDS, lower=True)
+                raw = own.data.tobytes()
+                for d in range(j - i):
+                    x, z = int(first[d]), int(first[d + 1])
+                    while x < z:
+                        y = int(np.searchsorted(ends[x:z], starts[x] + block_bytes, "right")) + x
+                        y = max(min(y, z), min(x + length, z))  # a piece has a window at least
+                        size = int(ends[y - 1] - starts[x]) + 64
+                        if size > room:
+                            n, room = n + 1, block_bytes
+                        room -= size
+                        block.append(part[i + d].as_py() << 40 | n)
+                        item.append(ids[i + d])
+                        text.append(raw[starts[x] : ends[y - 1]])
+                        x = z if y == z else y - length + 1
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(item, pa.string()), pa.array(text, pa.binary()).cast(pa.string())], ["block", "item_id", "words"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().cast("long").alias("part")).where("text is not null")
+    return items.mapInArrow(ft.released(run), "block long, item_id string, words string")
+
+
+def _window_hashes(column: pa.Array, sizes: list[int], whole: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, words of each row, row of each window, hash) of the word sequences of the given sizes by slices; with ``whole``, of pieces: those of the last size, and shorter pieces as a whole."""
+    for i, j, t in ft.slices(column):
+        own, starts, ends, first = ft.joined(t, ft.ALNUM_WORDS, lower=True)
+        h, n_words = ft.word_hashes(own.data, starts, ends), np.diff(first)
+        rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for n in sizes:
+            at = np.flatnonzero(ft.inside(first, n))
+            row = np.searchsorted(first, at, "right") - 1
+            if whole and n < sizes[-1]:
+                at, row = at[n_words[row] == n], row[n_words[row] == n]
+            rows.append(row)
+            hashes.append(ft.run_hashes(h, n)[at] ^ np.uint64(n))
+        yield i, j, n_words, np.concatenate(rows), np.concatenate(hashes)
+
+
+def _routed(scratch: Scratch, rows: DataFrame, benchmark: DataFrame, length: int, block_bytes: int) -> DataFrame:
+    """(doc_key, spans, items) of hit documents, a row for each block that hits one; writes (doc_key, doc_id, n_words, hashes) of all as "passed"."""
+    spark = scratch.spark
+    pieces = scratch.write(_cut_items(benchmark, length, block_bytes).repartition("block"), "pieces")
+
+    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block = b.column(0).to_numpy()
+            for i, j, n_words, row, h in _window_hashes(b.column(1), list(range(1, length + 1)), True):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(block[i:j][row]), pa.array(np.minimum(n_words[row], length).astype(np.int32))], ["h", "block", "size"])
+
+    found = scratch.write(pieces.select("block", "words").mapInArrow(ft.released(windows), "h long, block long, size int").distinct(), "windows")
+    sizes = sorted(r["size"] for r in found.select("size").distinct().collect())  # at most ``length``
+    place = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    marks = found.groupBy(F.bitmap_bucket_number(place + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in marks.toLocalIterator():  # 4 kB each, of 2 ** FILTER_BITS bits in all
+        own = np.frombuffer(r["bits"], np.uint8)
+        bits[(r["k"] - 1) * len(own) : r["k"] * len(own)] = own
+    shared = spark.sparkContext.broadcast(bits)
+
+    def passing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, n_words, row, h in _window_hashes(b.column(2), sizes, False):
+                at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                ok = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                row, h = row[ok], h[ok]
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
+                off = np.searchsorted(row[new], np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n_words.astype(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(h[new].view(np.int64)))], ["doc_key", "doc_id", "n_words", "hashes"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    passed = scratch.write(rows.select("doc_key", "doc_id", "text").mapInArrow(ft.released(passing), f"doc_key long, doc_id {kind}, n_words long, hashes array<long>"), "passed")
+    sure = passed.select("doc_key", F.explode("hashes").alias("h")).join(found.select("h", "block"), "h").select("doc_key", "block").distinct()
+    sure = scratch.write(sure, "candidates")
+    shares = scratch.write(sure.groupBy("block").agg(F.ceil(F.count("*") / F.lit(SHARE_DOCS)).alias("shares")), "shares")
+    texts = rows.select("doc_key", "text").join(sure, "doc_key").join(shares, "block")
+    texts = texts.select("block", F.pmod(F.xxhash64("doc_key"), F.col("shares")).alias("share"), F.lit(1).alias("kind"), "doc_key", F.lit(None).cast("string").alias("item_id"), "text")
+    head = pieces.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_key"), "item_id", F.col("words").alias("text"))
+    dealt = head.unionByName(texts).repartition("block", "share").sortWithinPartitions("block", "share", "kind")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, items, matcher = None, [], None
+        for b in batches:
+            key = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
+            x = 0
+            while x < len(key):
+                y = x
+                while y < len(key) and key[y] == key[x]:
+                    y += 1
+                if key[x][:2] != now:
+                    now, items, matcher = key[x][:2], [], None
+                part = b.slice(x, y - x)
+                if key[x][2] == 0:
+                    items += zip(part.column(4).to_pylist(), part.column(5).to_pylist())
+                else:
+                    matcher = matcher or Matcher(items, length)
+                    for i, j, n_words, found in matcher.scan(part.column(5)):
+                        keys, spans, ids = _found(part.column(3).slice(i, j - i), n_words, found)
+                        yield pa.RecordBatch.from_arrays([keys, spans, ids], ["doc_key", "spans", "items"]).take(pa.array(sorted(found), pa.int64()))
+                x = y
+
+    return scratch.write(dealt.mapInArrow(ft.released(run), f"doc_key long, spans {_SPANS}, items array<string>"), "hits")
+
+
+def _found(keys: pa.Array, n_words: np.ndarray, found: dict[int, tuple[np.ndarray, set]]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The keys of a slice beside the hit spans and items of each row."""
+    spans: list[list] = [[] for _ in n_words]
+    ids: list[list] = [[] for _ in n_words]
+    for d, (hit, own) in found.items():
+        edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+        spans[d] = [{"start": int(x), "words": int(y - x)} for x, y in zip(edge[::2], edge[1::2])]
+        ids[d] = list(own)
+    return keys, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))), pa.array(ids, pa.list_(pa.string()))
+
+
+def _scanned(rows: DataFrame, items: list, length: int) -> DataFrame:
+    """(doc_id, n_words, spans, items) of documents, against one automaton."""
     matcher = rows.sparkSession.sparkContext.broadcast(Matcher(items, length))  # bounded by block_bytes
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, n_words, found in matcher.value.scan(b.column(1)):
-                spans: list[list] = [[] for _ in range(j - i)]
-                ids: list[list] = [[] for _ in range(j - i)]
-                for d, (hit, own) in found.items():
-                    edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-                    spans[d] = [{"start": int(x), "words": int(y - x)} for x, y in zip(edge[::2], edge[1::2])]
-                    ids[d] = list(own)
-                out = pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(n_words.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))), pa.array(ids, pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "spans", "items"],
-                )
-                yield out if every else out.take(pa.array(sorted(found), pa.int64()))
+                keys, spans, ids = _found(b.column(0).slice(i, j - i), n_words, found)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n_words.astype(np.int64)), spans, ids], ["doc_id", "n_words", "spans", "items"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(ft.released(run), f"doc_id {kind}, n_words long, spans array<struct<start: long, words: long>>, items array<string>")
+    return rows.mapInArrow(ft.released(run), f"doc_id {kind}, n_words long, spans {_SPANS}, items array<string>")
 
 
 def _judged(rows: DataFrame, coverage: tuple[int, int]) -> DataFrame:
@@ -273,14 +396,11 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, coverag
 
     Contaminated documents go. From others each hit span is cut out of the text (with
     the bytes up to the next word), and an n_chars column follows; texts without a hit
-    stay as they are. Each block
-    of the benchmark makes one pass that collects spans; the cut needs no shuffle of
-    texts for a one-block benchmark.
+    stay as they are. The cut needs no shuffle of texts for a one-block benchmark.
     """
     small_batches(docs.sparkSession)
-    blocks = _blocks(benchmark, block_bytes)
-    block, rest = next(blocks), next(blocks, None)
-    if rest is not None:
+    items = _small(benchmark, block_bytes)
+    if items is None:
         scratch = Scratch(docs.sparkSession, "cleaned")
         names = docs.columns
         key = fresh(docs, "_row_key")
@@ -289,7 +409,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, coverag
         hits = judged.where("n_hit > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(fresh(rows, "_spans")))
         joined = rows.join(hits, key, "left")
         return joined.select(*names, hits.columns[1]).mapInArrow(_cutter(names, None, length, coverage), docs.schema)
-    matcher = docs.sparkSession.sparkContext.broadcast(Matcher(block, length))  # bounded by block_bytes
+    matcher = docs.sparkSession.sparkContext.broadcast(Matcher(items, length))  # bounded by block_bytes
     return docs.mapInArrow(_cutter(docs.columns, matcher, length, coverage), docs.schema)
 
 
