@@ -10,7 +10,8 @@ surroundings of the k + 1 least common words are counted.
 Matches with wider gaps come from fingerprints: of each WINDOW consecutive GRAM-word
 hashes of a template the smallest is posted in an inverted index with its template and
 place. All GRAM-word hashes of a document are looked up; hits of one template whose
-diagonals are within BAND make a candidate of BAND diagonals to either side of them.
+diagonals are within BAND of the next make a candidate of BAND diagonals to either side
+of them, which may drift over DRIFT bands in all.
 
 In a candidate's diagonals the template is aligned with the document's words, for
 most matches with gaps in both. Coverage is matched words over the template's words;
@@ -44,14 +45,17 @@ from quarrydex.llm.substring_dedup import member, sliding_min
 GRAM = 3
 WINDOW = 3
 BAND = 8
+#: Bands over which the diagonals of one match may drift in all.
+DRIFT = 4
 LEAST = 0.8
 
-# Notices of common public licenses.
+# Notices and texts of common public licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "MIT": "Released under the MIT License.",
-    "MIT permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
+    "MIT text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "BSD conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -209,13 +213,15 @@ def _full(places: dict[bytes, list[int]], words: list[bytes], x: int, y: int, ne
 
 
 def _near(diagonals: list[int], band: int) -> list[tuple[int, int]]:
-    """Ranges of sorted diagonals, cut where the next is over ``band`` away."""
+    """Ranges of sorted diagonals, none with the next over ``band`` away and none wider than DRIFT bands; those of a wider chain overlap, so that any narrower part of it is in one."""
     out: list[tuple[int, int]] = []
-    for x in diagonals:
-        if out and x - out[-1][1] <= band and x - out[-1][0] <= 4 * band:
-            out[-1] = (out[-1][0], x)
-        else:
-            out.append((x, x))
+    j = 0
+    for i, x in enumerate(diagonals):
+        j = max(i, j)
+        while j + 1 < len(diagonals) and diagonals[j + 1] - diagonals[j] <= band and diagonals[j + 1] - x <= DRIFT * band:
+            j += 1
+        if not out or diagonals[j] > out[-1][1]:
+            out.append((x, diagonals[j]))
     return out
 
 

@@ -1,40 +1,33 @@
 """Intermediate tables in the shared folder of the cluster, and row keys.
 
 Written tables cut the lineage: a lost executor costs the tasks of the current
-stage only. The folder is the session's ``spark.checkpoint.dir``; a folder of our
-own is used only where that is unset (single-machine tests).
+stage only. They lie below the session's ``spark.checkpoint.dir``; a folder of our
+own is used on a local master only, where that is unset (tests). Tables that nothing
+reads are dropped as soon as that is known, the others when the driver ends.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrydex.sources import delete, shared_dir, temporary
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; where none is set, a new temporary one, kept in the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.conf.get("quarrydex.scratch.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quarrydex')}"
-        spark.conf.set("quarrydex.scratch.dir", found)
-    return found.rstrip("/")
-
+__all__ = ["Scratch", "few", "fresh", "keyed", "shared_dir", "small_batches", "unique_ids", "with_keys"]
 
-#: Rows of an Arrow batch between Spark and a Python worker: a batch of texts is held several times, in either process.
-BATCH_ROWS = 1500
+#: Bytes and rows of an Arrow batch between Spark and a Python worker: a batch of texts is held several times, in either process.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 1500}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches for the operators of this package, unless they are smaller already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bounds the session's Arrow batches for the operators of this package; a setting that the caller has made stays.
+
+    The bound has to be in the session's settings: results are lazy, and Spark reads it when they run.
+    """
+    conf = spark._jsparkSession.sessionState().conf()
+    for key, value in BATCH.items():
+        if not conf.contains(key):
+            spark.conf.set(key, str(value))
 
 
 class Scratch:
@@ -43,7 +36,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/quarrydex-{name}-{uuid.uuid4().hex}"
+        self.root = temporary(spark, name)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the rows and returns the table, read back with the same schema."""
@@ -53,14 +46,12 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more, and lets Spark delete the shuffle files nothing refers to."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}")
         self.release()
 
     def release(self) -> None:
-        """Shuffle files are deleted once the driver has collected the objects that stand for them."""
+        """Spark deletes shuffle files once the driver has collected the objects that stand for them; a driver with memory to spare would otherwise keep them until disks are full."""
         import gc
 
         gc.collect()
@@ -105,16 +96,16 @@ def with_keys(scratch: Scratch, docs: DataFrame, key: str) -> tuple[DataFrame, b
     ranged = docs.withColumn(salt, F.rand(7)).repartitionByRange(*order, salt).drop(salt).sortWithinPartitions(*order)
     number = F.monotonically_increasing_id()
     parts = scratch.write(ranged.withColumns({part: F.shiftright(number, 33), at: number.bitwiseAND(F.lit((1 << 33) - 1))}), "keyed")
-    sizes = parts.groupBy(part).agg(F.count("*").alias("n")).orderBy(part).collect()  # one row for each partition
-    offsets, total = [], 0
-    for p, n in sizes:
-        offsets.append((p, total))
-        total += n
-    offsets = docs.sparkSession.createDataFrame(offsets or [(0, 0)], f"{part} long, {before} long")
-    rows = parts.join(F.broadcast(offsets), part).withColumn(key, F.col(before) + F.col(at))
+    rows = parts.join(few(starts(parts.groupBy(part).agg(F.count("*").alias("n")), part, before)), part).withColumn(key, F.col(before) + F.col(at))
     return rows.select(*docs.columns, key), False
 
 
+def starts(sizes: DataFrame, part: str, before: str) -> DataFrame:
+    """(part, before): the sum of n over the parts before, from (part, n); a row for each written part, summed in one task."""
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+
+
 def keyed(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, bool]:
     """(doc_key, doc_id, text) with the key of with_keys."""
     rows, plain = with_keys(scratch, docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), "doc_key")

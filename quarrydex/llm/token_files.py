@@ -16,7 +16,9 @@ container, so they are committed by Spark on any shared store and a lost executo
 files are written again; the rows of a part are in order, and so are the parts.
 
 Nulls and oddities: a null text is empty and has the end id alone. Null doc_ids come
-first; rows of one doc_id are ordered by their text. An empty table gives no segment.
+first; rows of one doc_id are ordered by a hash of their text, and a range of rows may
+end among equal ones, so that repeated rows don't meet in one task. Other columns are
+not read, so their names don't matter. An empty table gives no segment.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarrydex.llm import flattext as ft
 from quarrydex.llm.encoder import encoder
-from quarrydex.llm.scratch import Scratch
+from quarrydex.llm.scratch import Scratch, few, starts
 
 BLOCK = 1024
 PERCENTILE = 0.9
@@ -175,18 +177,13 @@ def token_segments(docs: DataFrame, tokenizer: str, end: int, block: int = BLOCK
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    ordered = rows.withColumn("salt", F.rand(7)).repartitionByRange(*order, "salt").drop("salt").sortWithinPartitions(*order, "text")
     return ordered.mapInArrow(ft.released(run), "seq long, before long, n_ids long, payload binary").select(F.spark_partition_id().alias("part"), "seq", "before", "n_ids", "payload")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of written segments."""
-    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row for each written part
-    offsets, total = [], 0
-    for r in totals:
-        offsets.append((r["part"], total))
-        total += r["n"]
-    parts = segments.sparkSession.createDataFrame(offsets or [(-1, 0)], "part int, part_start long")
+    parts = few(starts(segments.groupBy("part").agg(F.sum("n_ids").alias("n")), "part", "part_start"))  # a row for each written part
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,7 +194,7 @@ def read_back(segments: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(at[:-1] + begin), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = segments.join(F.broadcast(parts), "part").select((F.col("part_start") + F.col("before")).alias("start"), "payload")
+    placed = segments.join(parts, "part").select((F.col("part_start") + F.col("before")).alias("start"), "payload")
     return placed.mapInArrow(ft.released(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
