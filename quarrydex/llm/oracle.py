@@ -20,7 +20,7 @@ s AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM
 r AS (SELECT doc_id, sum(least(8, coalesce(j - i, 8)))::BIGINT AS n_repeat_words FROM s GROUP BY doc_id),
 m AS (
     SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
-        len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(list_filter(ws, lambda x: lower(x) IN ({_STOPS}))) AS n_stop_words, coalesce(n_repeat_words, 0) AS n_repeat_words
+        len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(list_filter(ws, lambda x: lower(x) IN ({_STOPS}))) AS n_stop_words, len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same_next, coalesce(n_repeat_words, 0) AS n_repeat_words
     FROM d LEFT JOIN r USING (doc_id)
 )
 SELECT *, ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND {compiled()} AS kept FROM m
