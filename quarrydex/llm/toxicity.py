@@ -1,22 +1,26 @@
 """Toxicity: a character n-gram linear classifier on naive-Bayes log-count ratios.
 
 A text, its A-Z lower-cased and its words joined by single blanks, is the set of its
-hashed character n-grams. On a bounded sample of labelled documents each n-gram gets
-the naive Bayes ratio r = log((p + a) / |p|) - log((q + a) / |q|) of its document
-counts p and q in toxic and other documents; the FEATURES of largest chi-square are
-kept, and a logistic regression is fitted to the presence of each, scaled by its r.
-Scores are the fitted probabilities, with the intercept moved from the sample's share
-of toxic documents to that of all labels used.
+hashed character n-grams, each once for every level of LEVELS that its count in the text
+reaches: a common n-gram can tell by coming often. On a bounded sample of labelled
+documents each feature gets the naive Bayes ratio r = log((p + a) / |p|) - log((q + a) / |q|)
+of its document counts p and q in toxic and other documents. Features of no association
+with the mark (a chi-square under MIN_CHI, or under MIN_SHARE of the documents) say
+nothing and go, the others all stay; a logistic regression is fitted to the presence of
+each, scaled by its r. Scores are the fitted probabilities, with the intercept moved from
+the sample's share of toxic documents to that of all labels used.
 
 The sample: of the labels whose document is not held out, at most MAX_PER_CLASS of
 either class, those of the smallest hash of doc_id. So the driver holds at most
 2 * MAX_PER_CLASS documents' kept features, and 2 ** BITS counts. Every document is
-scored, over its whole text.
+scored, over its whole text, however long.
 
 Nulls and oddities: a null text is empty and scores by the intercept. A null doc_id is
 not held out and is never trained on. Labels with a null id or mark are not used;
 contradicting labels of one document count as toxic. Without labels of both classes
 every score is the share of toxic ones (0 without labels). Repeated rows score alike.
+An empty table gives an empty result. Other columns are not read, so their names don't
+matter.
 """
 
 from __future__ import annotations
@@ -33,13 +37,18 @@ from quarrydex.llm import flattext as ft
 from quarrydex.llm.scratch import Scratch, small_batches
 
 GRAMS = (3, 4, 5)
-BITS = 20
-FEATURES = 8192
+#: Counts of an n-gram in a text that make a feature each.
+LEVELS = (1, 2, 3)
+BITS = 21
+#: Least chi-square of a feature with the mark, as such and as a share of the sample's documents.
+MIN_CHI = 20.0
+MIN_SHARE = 0.005
 MAX_PER_CLASS = 4000
 SMOOTHING = 1.0
-PENALTY = 0.5
+PENALTY = 0.1
 THRESHOLD = 0.7
 _STEP = 0x9E3779B97F4A7C15
+_STEP32 = 0x9E3779B1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,8 +56,16 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def presences(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, rows, features) by slices: the distinct n-grams of each row, of the wanted ones if given."""
+def grams_of(wanted: np.ndarray) -> np.ndarray:
+    """Marks the n-grams that have a wanted feature at some level."""
+    every, out = np.arange(1 << BITS), wanted.copy()
+    for level in LEVELS[1:]:
+        out |= wanted[(every * _STEP32 * level + level) & ((1 << BITS) - 1)]
+    return out
+
+
+def presences(column: pa.Array, wanted: np.ndarray | None = None, grams: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, rows, features) by slices: the distinct features of each row, of the wanted ones if given (with grams_of them)."""
     for i, j, t in ft.slices(column, ft.SLICE_BYTES // 3):
         own, _, _, _ = ft.joined(t, ft.SPACE_WORDS, lower=True)
         data = own.data[: own.off[-1]]
@@ -59,13 +76,20 @@ def presences(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tu
         for n in GRAMS:
             ok = np.flatnonzero(ft.inside(first, n))
             f = (ft.run_hashes(chars + np.uint64(n), n, _STEP)[ok] >> np.uint64(64 - BITS)).astype(np.int64)
-            if wanted is not None:
-                hit = np.flatnonzero(wanted[f])
+            if grams is not None:
+                hit = np.flatnonzero(grams[f])
                 ok, f = ok[hit], f[hit]
             docs.append(np.searchsorted(first, ok, "right") - 1)
             feats.append(f)
-        pair = np.unique((np.concatenate(docs) << BITS) | np.concatenate(feats))
-        yield i, j, pair >> BITS, pair & ((1 << BITS) - 1)
+        pair, count = np.unique((np.concatenate(docs) << BITS) | np.concatenate(feats), return_counts=True)
+        many, mask = [pair], (1 << BITS) - 1
+        for level in LEVELS[1:]:
+            own = pair[count >= level]
+            many.append((own & ~mask) | (((own & mask) * _STEP32 * level + level) & mask))
+        pair = np.unique(np.concatenate(many))
+        if wanted is not None:
+            pair = pair[wanted[pair & mask]]
+        yield i, j, pair >> BITS, pair & mask
 
 
 @dataclass
@@ -74,10 +98,15 @@ class Model:
 
     weight: np.ndarray
     intercept: float
+    wanted: np.ndarray | None = None
+    grams: np.ndarray | None = None
 
     def score(self, column: pa.Array) -> np.ndarray:
-        out, wanted = np.full(len(column), self.intercept), self.weight != 0
-        for i, j, docs, feats in presences(column, wanted):
+        if self.wanted is None:
+            self.wanted = self.weight != 0
+            self.grams = grams_of(self.wanted)
+        out = np.full(len(column), self.intercept)
+        for i, j, docs, feats in presences(column, self.wanted, self.grams):
             out[i:j] += np.bincount(docs, self.weight[feats], j - i)
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
@@ -115,7 +144,7 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, features: int = FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, min_chi: float = MIN_CHI, min_share: float = MIN_SHARE) -> Model:
     """Fits the classifier on a bounded sample of the labels that are not held out."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     used = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("y"))
@@ -149,19 +178,19 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     if not n0 or not n1:
         return none
     worth = chi_square(toxic, clean, n1, n0)
-    keep = np.sort(np.argsort(-worth, kind="stable")[:features])
-    keep = keep[worth[keep] > 0]
+    keep = np.flatnonzero(worth >= max(min_chi, min_share * (n0 + n1)))
     r_all = ratios(toxic, clean)
     wanted = np.zeros(1 << BITS, bool)
     wanted[keep] = True
+    grams = grams_of(wanted)
 
     def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, docs_, feats in presences(b.column(1), wanted):
+            for i, j, docs_, feats in presences(b.column(1), wanted, grams):
                 off = np.searchsorted(docs_, np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(off), pa.array(feats.astype(np.int32)))], ["y", "feats"])
 
-    found = sample.select("y", "text", "doc_id").orderBy("doc_id").drop("doc_id").mapInArrow(ft.released(listed), "y int, feats array<int>").toArrow()  # at most 2 * max_per_class rows of at most ``features`` numbers
+    found = sample.select("y", "text", "doc_id").orderBy("doc_id").drop("doc_id").mapInArrow(ft.released(listed), "y int, feats array<int>").toArrow()  # at most 2 * max_per_class rows
     lists = found.column("feats").combine_chunks()
     y = found.column("y").to_numpy().astype(float)
     rows_at = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False))

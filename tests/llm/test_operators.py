@@ -238,6 +238,23 @@ def test_cleaned(spark, block):
     assert set(out) == {2, 3, 4} and out[2].text == "Before " + "w " * 400 + "after  it" and out[2].n_chars == len(out[2].text) and out[3] == tuple(rows[2]) and out[4].text is None
 
 
+def test_contamination_by_long_items_and_hot_blocks(spark, monkeypatch):
+    """Items longer than a block, one item that most documents hold, and empty tables, by way of the routed blocks."""
+    monkeypatch.setattr(decontaminate, "SHARE_DOCS", 7)
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(40)}" for _ in range(400))
+    items = [(1, long), (2, "one two three four five six seven eight nine ten eleven twelve thirteen"), (3, "short item"), (4, long), (None, "nameless one")]
+    part = long.split()
+    rows = [(i, " ".join(["x"] * (i % 5) + ["One two three, four five six seven eight nine ten eleven twelve thirteen!"] * (i % 3 > 0) + part[i : i + 12 + i % 4])) for i in range(60)]
+    rows += [(100, "a short item, a nameless one"), (101, None), (102, "")]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (200, 1000):
+        assert Counter(tuple(r)[:6] for r in decontaminate.contamination(df, bench, block_bytes=block).collect()) == Counter(hit(rows, items))
+    none = spark.createDataFrame([], df.schema)
+    for block in (200, 1 << 20):
+        assert decontaminate.contamination(none, bench, block_bytes=block).count() == 0 and decontaminate.cleaned(none, bench, block_bytes=block).count() == 0
+
+
 # SimHash
 
 
@@ -379,6 +396,29 @@ def test_toxicity_never_reads_other_labels(spark):
     assert np.array_equal(a.weight, b.weight) and a.intercept == b.intercept
 
 
+def test_toxicity_of_odd_and_empty_tables(spark, odd, empty):
+    marks = spark.createDataFrame([(i, int(i % 2)) for i in range(10)], "doc_id bigint, toxic int")
+    out = toxicity.scored(odd, toxicity.train(odd, marks))
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == odd.count()
+    assert all(0 <= r.score <= 1 for r in out.collect())
+    assert toxicity.scored(empty, toxicity.train(empty, marks)).count() == 0
+
+
+def test_toxic_words_that_only_come_often(spark):
+    """A word that clean texts have once and toxic ones four times tells by its count."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(600):
+        w = ["".join(rng.choices(["th", "er", "on", "an"], k=3)) for _ in range(60)]
+        for _ in range(4 if i % 3 == 0 else 1):
+            w[rng.randrange(60)] = "zugu"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = [r for r in toxicity.scored(df, toxicity.train(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"))).collect() if r.held_out]
+    assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in out) > 0.9 * len(out)
+
+
 # token files, counts and packing
 
 
