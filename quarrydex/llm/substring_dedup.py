@@ -48,7 +48,9 @@ from quarrydex.llm.scratch import BROADCAST_KEYS, Scratch, few, fresh, keyed, wi
 
 WINDOW = 20
 GRAM = 8
-FANOUT = 4
+#: Runs that the log may have; the registered query adds more batches than that, so it compacts.
+FANOUT = 1
+BATCHES = 3
 _SEED2 = 0x5BD1E995
 
 
@@ -294,7 +296,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     return rows.join(ids, key, "left_anti").select(*docs.columns).unionByName(new.select(*docs.columns))
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT) -> DataFrame:
     """(doc_key, doc_id, n_words, n_removed, kept_sha256, kept_text) for each row of docs, added to an index in ``batches`` ranges of keys.
 
     kept_text is null where nothing was removed. The result doesn't depend on ``batches``.
