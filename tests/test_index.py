@@ -224,3 +224,172 @@ def test_bitmaps(spark):
     both = a.unionByName(b).distinct()
     assert sorted((r.bucket, r.docs) for r in postings.union_bitmap(both).collect()) == [(0, 3), (1, 1), (2, 1), (3, 1)]
     assert sorted((r.bucket, r.docs) for r in postings.intersection_bitmap(a, b).collect()) == [(0, 1), (1, 1)]
+
+
+def test_literal_prefixes_lose_no_match(spark):
+    """Filters of patterns against Python's matches, with alternatives behind groups, in classes, escaped and quantified."""
+    words = ["ab", "cd", "a", "b", "abc", "abd", "acd", "a|b", "(ab", "xab", "ab|cd", "", "abab", "cdcd", "a]b", "a(b", "the", "there"]
+    df = spark.createDataFrame([(w,) for w in words], "term string")
+    import re
+
+    for pattern in ("a(b)|c(d)", "(a)(b)|(c)", "a[|]b", "a\\|b", "(a|x)ab|cd", "ab*", "ab?c", "ab{0,2}", "a+b", "[a-c]b|the.*", "a[]|]b", "a[^)]b|(cd)+", "a\\(b|cd", "(?:ab|cd)+", "the(re)?", "ab|", ".*", "a(b|c)d"):
+        want = sorted(w for w in words if re.fullmatch(pattern, w)) if "[]" not in pattern else None  # Java reads an empty class otherwise
+        got = sorted(r.term for r in df.where(dictionary.matching(pattern)).collect()) if want is not None else None
+        assert got == want, pattern
+    rng = random.Random(4)
+    for _ in range(60):
+        pattern = "".join(rng.choice(["a", "b", "c", "d", "(", ")", "|", "[ab]", "?", "*", "\\|"]) for _ in range(rng.randint(1, 7)))
+        try:
+            compiled = re.compile(pattern)
+        except re.error:
+            continue
+        if re.search(r"[?*][?*]|[(|][?*]", pattern) or pattern[0] in "?*":
+            continue  # possessive and lazy forms
+        lead = dictionary.literal_prefix(pattern)
+        assert all(w.startswith(lead) for w in words if compiled.fullmatch(w)), pattern
+
+
+def test_column_values_of_ids_and_unknown_fields(tiny):
+    index = DocumentIndex(tiny)
+    got = [(r.doc_id, r.req_pos, r.field, r.term) for r in index.docvalues(["_id", "none", "lang"]).orderBy("doc_id", "req_pos").collect()]
+    assert got[:2] == [(0, 0, "_id", "0"), (0, 2, "lang", "en")] and (2, 0, "_id", "2") in got and not any(r[0] == 2 and r[2] == "lang" for r in got)
+    assert index.docvalues(["none"]).count() == 0 and index.docvalues([]).count() == 0 and index.docvalues(["body"]).count() == 0
+    assert index.terms("none").count() == 0 and index.postings("none").count() == 0
+
+
+def test_one_hit_terms_have_no_locations(tiny):
+    rows = DocumentIndex(tiny).relations()["postings"]
+    found = {(r.field, r.term) for r in postings.one_hit(rows).collect()}
+    assert ("_id", "0") in found and ("source", "c") in found and not any(f == "body" for f, _ in found)
+
+
+def test_time_bounds_of_built_segments(spark, tmp_path):
+    rows = [(0, "a", 50), (1, "b", -7), (2, "c", 20), (3, "d", -3), (4, "e", 10), (5, "f", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, ts bigint")
+    fields = (model.Field("_id", "doc_id"), model.Field("text", kind="text"))
+    index = DocumentIndex(df, segments=3, fields=fields, time_column="ts").write(str(tmp_path / "s"))
+    got = {r.segment_id: (r.num_docs, r.time_min, r.time_max) for r in index["segment_meta"].collect()}
+    assert got == {0: (2, -3, 50), 1: (2, -7, 10), 2: (2, 0, 0)}
+    assert tuple(merge.source_bounds(index["segment_meta"]).first()) == (0, 0)
+    assert tuple(merge.source_bounds(index["segment_meta"].where("segment_id < 2")).first()) == (-7, 50)
+    merged, _ = merge.merge_relations({k: v.where("segment_id < 2") for k, v in index.items()}, spark.createDataFrame([(0, 0)], "segment_id bigint, doc_num bigint"))
+    assert tuple(merged["segment_meta"].first()) == (0, 3, -7, 50)  # of the sources, though the document at 50 is gone
+
+
+def test_repeated_composite_and_vector_fields(spark, tmp_path):
+    rows = [(0, ["a b", None, "b"], "x", [[1.0, 2.0], [3.0, 4.0]], [5, 3, 5]), (1, [], None, None, None), (2, ["b b"], "a", [[0.5, 0.5]], [1])]
+    df = spark.createDataFrame(rows, "key bigint, texts array<string>, tag string, v array<array<float>>, n array<bigint>")
+    fields = (
+        model.Field("_id", "key"), model.Field("body", "texts", "text", docvalues=True), model.Field("tag", norm=lambda n: n * F.lit(2.0)),
+        model.Field("all", kind="composite", of=("body", "tag")), model.Field("v", kind="vector"), model.Field("n", kind="numeric", docvalues=True),
+    )
+    index = DocumentIndex(df, segments=1, fields=fields, id_column="key").write(str(tmp_path / "s"))
+    got = {(r.doc_num, r.field, r.term): (r.freq, round(r.norm, 6), [tuple(x) for x in r.locs]) for r in index["postings"].collect()}
+    norm = round(3**-0.5, 6)
+    assert got[0, "body", "b"] == (2, norm, [("body", 2, 2, 3), ("body", 1, 0, 1)])  # values in order, the norm of their summed length
+    assert got[0, "all", "b"] == (2, 0.5, [("body", 2, 2, 3), ("body", 1, 0, 1)]) and got[0, "all", "x"] == (1, 0.5, [("tag", 1, 0, 1)])
+    assert got[2, "all", "a"][2] == [("tag", 1, 0, 1)] and got[2, "tag", "a"] == (1, 2.0, []) and got[2, "body", "b"][0] == 2
+    assert not any(d == 1 and f != "_id" for d, f, _ in got)
+    assert [(r.doc_num, r.ord, r.vector) for r in index["vectors"].orderBy("doc_num", "ord").collect()] == [(0, 0, [1.0, 2.0]), (0, 1, [3.0, 4.0]), (2, 0, [0.5, 0.5])]
+    assert [(r.doc_num, r.ord, r.value) for r in index["numcol"].orderBy("doc_num", "ord").collect()] == [(0, 0, 5), (0, 1, 3), (0, 2, 5), (2, 0, 1)]
+    assert [r.term for r in index["docvalues"].where("field = 'body' and doc_num = 0").orderBy("ord").collect()] == ["a", "b"]
+    assert [(r.field, r.ord, r.value) for r in index["stored"].where("doc_num = 0 and field = 'body'").orderBy("ord").collect()] == [("body", 0, "a b"), ("body", 1, "b")]
+    assert vectors.search(index["vectors"], [1.0, 0.0], 1, "dot").first().doc_num == 0
+    merged, _ = merge.merge_relations(index, spark.createDataFrame([(0, 0)], "segment_id bigint, doc_num bigint"))
+    assert [(r.doc_num, r.vector) for r in merged["vectors"].collect()] == [(1, [0.5, 0.5])]
+    assert {(r.field, r.docs, r.tokens) for r in merged["fields"].collect()} == {("_id", 2, 2), ("body", 1, 2), ("tag", 1, 1), ("all", 1, 3)}
+    for bad in ({"kind": "other"}, {"kind": "composite"}, {"of": ("body",)}):
+        with pytest.raises(ValueError):
+            model.Field("f", **bad)
+    for bad in ((fields[0], fields[0]), (model.Field("all", kind="composite", of=("none",)),)):
+        with pytest.raises(ValueError):
+            DocumentIndex(df, fields=bad, id_column="key")
+
+
+def test_an_analyzer_of_the_caller(spark):
+    df = spark.createDataFrame([(0, "One, two;TWO")], "doc_id bigint, text string")
+    index = DocumentIndex(df, fields=(model.Field("body", "text", "text"),), analyzer=lambda t: F.split(F.lower(t), "[^a-z]+"))
+    assert sorted((r.term, r.freq) for r in index.postings("body").collect()) == [("one", 1), ("two", 2)]
+
+
+def test_numbers_of_sparse_and_clustered_keys(spark):
+    rng = random.Random(6)
+    keys = sorted({rng.getrandbits(62) for _ in range(3000)} | set(range(3000)) | {2**62 + 1})
+    df = spark.createDataFrame([(k % 2, k) for k in keys], "g bigint, k bigint")
+    rows = dense_numbers(df, ["g"], "k", "n", span=500)
+    got = {(r.g, r.k): r.n for r in rows.collect()}
+    for g in range(2):
+        assert [got[g, k] for k in keys if k % 2 == g] == list(range(sum(k % 2 == g for k in keys)))
+
+
+def test_blocks_and_skips_against_a_walk(spark):
+    rng = random.Random(9)
+    docs = 5000
+    rows = [(0, n, "body", t, rng.randint(1, 9), rng.random()) for t, share in (("hot", 0.9), ("rare", 0.01)) for n in range(docs) if rng.random() < share]
+    found = spark.createDataFrame(rows, "segment_id bigint, doc_num bigint, field string, term string, freq bigint, norm float")
+    terms = found.groupBy("segment_id", "field", "term").agg(F.count("*").alias("doc_freq"))
+    meta = spark.createDataFrame([(0, docs)], "segment_id bigint, num_docs bigint")
+    want: dict = {}
+    for term in ("hot", "rare"):
+        own = [r for r in found.collect() if r.term == term]
+        size = docs // (len(own) // 1024 + 1)
+        for r in own:
+            want.setdefault((term, r.doc_num // size, size), []).append(r)
+    bounds = postings.block_bounds(found, terms, meta)
+    got = {(r.term, r.chunk): (r.max_freq, r.min_norm, r.end_doc, r.n) for r in bounds.collect()}
+    assert got == {(t, c): (max(r.freq for r in v), min(r.norm for r in v), (c + 1) * size, len(v)) for (t, c, size), v in want.items()}
+    for least in (0.0003, 0.5):
+        passing = sorted(r.doc_num for (t, _, _), v in want.items() if t == "hot" and min(r.norm for r in v) >= least for r in v)
+        hot = found.where("term = 'hot'")
+        assert sorted(r.doc_num for r in postings.skip_blocks(hot, bounds.where("term = 'hot'"), terms, meta, F.col("min_norm") >= least).collect()) == passing
+
+
+def test_scans_of_a_written_index_push_their_filters(spark, small):
+    from quarrydex.plans.queries import QUERIES
+
+    for name, filters in (("dict_prefix", ("EqualTo(field,body)", "GreaterThanOrEqual(term,tion)", "LessThan(term,tioo)")), ("term_postings", ("EqualTo(field,body)", "EqualTo(term,the)"))):
+        plan = spark._jvm.PythonSQLUtils.explainString(QUERIES[name](spark, small)._jdf.queryExecution(), "formatted")
+        assert all(f in plan for f in filters), plan
+
+
+def test_a_cancelled_merge_leaves_no_result(spark, tiny, tmp_path):
+    """Cancelling the job group of a merge fails its write; the sources stay and merge again."""
+    import threading
+    import time
+
+    relations = DocumentIndex(tiny).relations()
+    none = spark.createDataFrame([], "segment_id bigint, doc_num bigint")
+    slow = F.udf(lambda x: time.sleep(30) or x, "bigint")
+    merged, _ = merge.merge_relations(relations, none)
+    failed = []
+
+    def run():
+        spark.sparkContext.setJobGroup("merge", "a merge", True)
+        try:
+            merged["postings"].withColumn("doc_num", slow("doc_num")).write.parquet(str(tmp_path / "out"))
+        except Exception as e:
+            failed.append(str(e))
+
+    from pyspark import InheritableThread
+
+    worker = InheritableThread(target=run)
+    worker.start()
+    tracker = spark.sparkContext.statusTracker()
+    until = time.time() + 60
+    while not failed and time.time() < until and not any((tracker.getJobInfo(j) or None) and tracker.getJobInfo(j).status == "RUNNING" for j in tracker.getJobIdsForGroup("merge")):
+        time.sleep(0.2)
+    while worker.is_alive() and time.time() < until:
+        spark.sparkContext.cancelJobGroup("merge")
+        time.sleep(0.2)
+    worker.join(30)
+    assert failed and "cancel" in failed[0].lower() and not (tmp_path / "out" / "_SUCCESS").exists()
+    assert merged["postings"].count() == relations["postings"].count()
+
+
+def test_a_failed_build_leaves_no_segment(spark, tiny, tmp_path):
+    """An error while documents are read fails the build, and again when tried again; nothing loads as a segment."""
+    bad = tiny.withColumn("text", F.when(F.col("doc_id") == 1, F.raise_error(F.lit("broken"))).otherwise(F.col("text")))
+    for _ in range(2):
+        with pytest.raises(Exception, match="broken"):
+            DocumentIndex(bad).write(str(tmp_path / "s"))
+    assert sources.load(spark, str(tmp_path / "s"))["postings"].count() == 0
