@@ -298,10 +298,12 @@ class DocumentIndex:
         raw = sources.written(self.all_postings, "postings")
         terms = sources.written(dictionary_of(raw), "dictionary")
         lengths = sources.written(self.all_lengths, "lengths")
-        for name, df in self.relations(raw, terms, lengths).items():
+        relations = self.relations(raw, terms, lengths)
+        bounds = relations["block_bounds"] = sources.written(relations["block_bounds"], "bounds")
+        for name, df in relations.items():
             if name != "vectors" or any(f.kind == "vector" for f in self.fields.values()):
                 sources.write_relation(df, path, name, mode)
-        sources.remove(raw, terms, lengths)
+        sources.remove(raw, terms, lengths, bounds)
         return sources.load(spark, path)
 
 

@@ -315,10 +315,8 @@ def field_rollup(spark, d):
 
 @query
 def composite_field(spark, d):
-    fields = (*model.DOCUMENT_FIELDS, model.Field("_all", kind="composite", of=("body", "lang", "source")))
-    index = DocumentIndex(table(spark, d, "documents"), fields=fields)
-    grouped = index.terms("_all").groupBy("doc_id", "segment_id", "term").agg(F.count("*").alias("freq"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
-    return index.numbered(grouped).select("segment_id", "doc_num", "term", "freq", "fields")
+    parts = _of_field(spark, d, "body", "lang", "source").groupBy("segment_id", "doc_num", "term")
+    return parts.agg(F.sum("freq").alias("freq"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
 
 
 @query

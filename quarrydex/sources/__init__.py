@@ -6,9 +6,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrydex import model
 
+#: Documents of a file of a relation by document.
+FILE_DOCS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,9 +60,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def arranged(df: DataFrame, name: str) -> DataFrame:
-    """A relation in ranges of its sort order: few files for a segment, and none holds all of a frequent term."""
+    """A relation in its sort order: few files for a segment, none of which holds all of a frequent term.
+
+    Relations by term are sorted into ranges, by samples of df, which should be a written
+    table; those by document are dealt by the document's number and sorted.
+    """
     by = ["segment_id", *model.SORTED[name]]
-    return df.repartitionByRange(*by).sortWithinPartitions(*by)
+    if "term" in by:
+        dealt = df.repartitionByRange(*by)
+    elif "doc_num" in by:
+        dealt = df.repartition("segment_id", F.floor(F.col("doc_num") / FILE_DOCS))
+    else:
+        dealt = df.repartition("segment_id")
+    return dealt.sortWithinPartitions(*by)
 
 
 def write_relation(df: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
